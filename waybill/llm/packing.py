@@ -18,7 +18,7 @@ END_ID = 2
 #: Pieces a group holds on average.
 GROUP_PIECES = 4096
 #: Distinct words a worker keeps the ids of; beyond, it starts anew.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 500_000
 
 _TRAIL = np.zeros(256, dtype=bool)
 _TRAIL[list(b".,;:!?")] = True
@@ -35,10 +35,17 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that end a piece.
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -48,17 +55,38 @@ class WordIds:
         self.ids = np.zeros(4096, dtype=np.uint32)
         self.used = 0
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in turn and how many each has.
+
+        A word of letters alone is one piece and ends in one id of the kind that
+        ends pieces, so such words are coded as one text and told apart by these.
+        """
+        plain = np.fromiter((w.lower().isalpha() for w in words), dtype=bool, count=len(words))
+        parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(words)
+        runs = [np.flatnonzero(plain)[i : i + 500] for i in range(0, int(plain.sum()), 500)]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(run):
+                for i, part in zip(run.tolist(), np.split(ids, ends[:-1]), strict=True):
+                    parts[i] = part
+            else:
+                plain[run] = False
+        rest = np.flatnonzero(~plain)
+        for i, coded in zip(rest.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            parts[i] = np.array(coded.ids, dtype=np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in coded], dtype=np.int64)
-        n, total = len(self.place), int(lengths.sum())
+        ids, lengths = self._ids_of(words)
+        n, total = len(self.place), len(ids)
         while n + len(words) > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.count[n : n + len(words)] = lengths
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), dtype=np.uint32, count=total)
+        self.ids[self.used : self.used + total] = ids
         self.used += total
         self.place.update(zip(hashes, range(n, n + len(words)), strict=True))
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -48,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK_BYTES * 2
+    size = CHUNK_BYTES + (CHUNK_BYTES >> 2)
     while size < n:
         size *= 2
     return _powers(size)
