@@ -18,7 +18,7 @@ END_ID = 2
 #: Pieces a group holds on average.
 GROUP_PIECES = 4096
 #: Distinct words a worker keeps the ids of; beyond, it starts anew.
-WORD_CACHE = 500_000
+WORD_CACHE = 1_000_000
 
 _TRAIL = np.zeros(256, dtype=bool)
 _TRAIL[list(b".,;:!?")] = True
@@ -49,37 +49,43 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        #: Hashes of the known words in order, and the place of each in start and count.
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.place = np.zeros(0, dtype=np.int64)
         self.start = np.zeros(1024, dtype=np.int64)
         self.count = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(4096, dtype=np.uint32)
         self.used = 0
 
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words in turn and how many each has.
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words, how many each has, and the order they are in.
 
         A word of letters alone is one piece and ends in one id of the kind that
         ends pieces, so such words are coded as one text and told apart by these.
         """
         plain = np.fromiter((w.lower().isalpha() for w in words), dtype=bool, count=len(words))
-        parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(words)
-        runs = [np.flatnonzero(plain)[i : i + 500] for i in range(0, int(plain.sum()), 500)]
+        parts, lengths, order = [np.zeros(0, dtype=np.uint32)], [], []
+        letters = np.flatnonzero(plain)
+        runs = [letters[i : i + 500].tolist() for i in range(0, len(letters), 500)]
         for run, coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(run):
-                for i, part in zip(run.tolist(), np.split(ids, ends[:-1]), strict=True):
-                    parts[i] = part
+                parts.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+                order += run
             else:
                 plain[run] = False
-        rest = np.flatnonzero(~plain)
-        for i, coded in zip(rest.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            parts[i] = np.array(coded.ids, dtype=np.uint32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        ids, lengths = self._ids_of(words)
-        n, total = len(self.place), len(ids)
+        rest = np.flatnonzero(~plain).tolist()
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        parts += [np.array(x, dtype=np.uint32) for x in coded]
+        lengths.append(np.array([len(x) for x in coded], dtype=np.int64))
+        return np.concatenate(parts), np.concatenate(lengths).astype(np.int64), np.array(order + rest, dtype=np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words; ``hashes`` ascends and holds none that is known."""
+        ids, lengths, order = self._ids_of(words)
+        n, total = len(self.known), len(ids)
         while n + len(words) > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + total > len(self.ids):
@@ -88,22 +94,26 @@ class WordIds:
         self.count[n : n + len(words)] = lengths
         self.ids[self.used : self.used + total] = ids
         self.used += total
-        self.place.update(zip(hashes, range(n, n + len(words)), strict=True))
+        place = np.empty(len(words), dtype=np.int64)
+        place[order] = np.arange(n, n + len(words))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, place)
 
     def encode(self, scan) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a scan and where each document's begin."""
         scan = _split_trails(scan)
         values, example, turn = np.unique(scan.word_hashes(), return_index=True, return_inverse=True)
-        if len(self.place) + len(values) > WORD_CACHE:
+        if len(self.known) + len(values) > WORD_CACHE:
             self._clear()
-        keys = values.tolist()
-        place = np.fromiter((self.place.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
-        new = np.flatnonzero(place < 0)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._learn([keys[i] for i in part], [scan.word(example[i]).decode("utf-8", "replace") for i in part])
-        place[new] = np.arange(len(self.place) - len(new), len(self.place))
-        place = place[turn]
+        at = np.searchsorted(self.known, values)
+        new = np.ones(len(values), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != values[inside]
+        if new.any():
+            text, first = scan.data.tobytes(), example[new]
+            words = [text[a:b].decode("utf-8", "replace") for a, b in zip(scan.start[first].tolist(), scan.end[first].tolist(), strict=True)]
+            self._learn(values[new], words)
+        place = self.place[np.searchsorted(self.known, values)][turn]
         lengths = self.count[place]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

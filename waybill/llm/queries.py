@@ -32,6 +32,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=24)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose word 5-grams overlap by 0.8 or more."""
+    from waybill.llm.ngram_join import ngram_join
+
+    return ngram_join(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     from waybill.llm.packing import pack
@@ -98,6 +105,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op5_sharding": op5_sharding,
+        "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
     }
