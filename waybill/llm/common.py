@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word separators of every text contract here.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -77,11 +78,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, sprea
     total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.where(F.col(size) > F.lit(max(total / HOT_PARTS, 8.0)))
     values = [c for c in groups.columns if c != key]
-    kind = groups.schema[key].dataType
+    kind = "binary" if groups.schema[key].dataType == T.BinaryType() else "string"
     hot = F.broadcast(hot.select(F.col(key), F.struct(*values).alias("_hot")))
     found = rows.join(hot, key, "left")
     dummy = F.concat(F.lit("~"), F.pmod(F.hash(spread), F.lit(1 << 20)).cast("string")).cast(kind)
-    found = found.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dummy))
-    rest = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
+    found = found.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key).cast(kind)).otherwise(dummy))
+    rest = groups.select(F.col(key).cast(kind).alias("_key"), F.struct(*values).alias("_cold"))
     found = found.join(rest, "_key", "left").withColumn("_group", F.coalesce("_hot", "_cold"))
     return found.select(*rows.columns, *[F.col("_group")[v].alias(v) for v in values])
