@@ -25,6 +25,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    from waybill.llm.warc import round_trip
+
+    out = round_trip(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents interleaved into 24 shards."""
     from waybill.llm.sharding import interleave
@@ -91,6 +99,18 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -104,6 +124,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
@@ -112,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
