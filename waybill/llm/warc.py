@@ -135,8 +135,8 @@ class _Member:
         return b"".join(self.out)
 
     def begins(self) -> bool:
-        """Whether this can be a member: its header inflates, to a version line or to nothing."""
-        return self.ok and (self.text()[:5] == b"WARC/"[: len(self.text())])
+        """Whether this is known to be a member: its header inflates to a version line, or all of it to nothing."""
+        return self.ok and (self.text()[:5] == b"WARC/" or self.inflate.eof and not self.text())
 
 
 def _record_batches(with_payload: bool):
@@ -173,7 +173,7 @@ def _record_batches(with_payload: bool):
                     current = _Member()
                     current.take(raw)
                     if not current.begins():
-                        # The magic of another range's member: its continuation.
+                        # It goes on with another range's member, or is too short to tell.
                         rows.append(piece(current))
                         current = None
                 else:
