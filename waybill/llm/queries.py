@@ -25,6 +25,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that stand in an earlier one."""
+    from waybill.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     from waybill.llm.warc import round_trip
@@ -40,6 +47,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=24)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from its text, declared language and source."""
+    from waybill.llm.language_id import identify_documents
+
+    return identify_documents(read_table(spark, sf_dir, "documents")).drop("row")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, from its text, markup and address."""
+    from waybill.llm.language_id import identify_pages
+
+    return identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose word 5-grams overlap by 0.8 or more."""
     from waybill.llm.ngram_join import ngram_join
@@ -124,8 +145,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
+        "op7_language_id": op7_language_id,
+        "pages_language_id": pages_language_id,
         "op8_ngram_join": op8_ngram_join,
         "op9_packing": op9_packing,
         "op10_exact_dedup": op10_exact_dedup,
