@@ -1,91 +1,115 @@
 """JSON Schema to Spark columns: a row's violations without a UDF.
 
 The payload is parsed once into a VARIANT, in which a missing field and a JSON
-null can be told apart and values keep their JSON types.
+null can be told apart and values keep their JSON types.  ``with_facts`` adds
+one column of each kind for each path that any contract names; the violations
+are then cheap conditions on these columns, however many contracts are active.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
-def parsed(raw: Column) -> Column:
-    return F.try_parse_json(raw)
+def _name(prefix: str, path: str) -> str:
+    return f"_{prefix}_{path.replace('$', 'root').replace('.', '__')}"
 
 
-def _kind(value: Column) -> Column:
-    """The JSON type of a variant: string, number, boolean, null, object or array; null if missing."""
-    kind = F.schema_of_variant(value)
-    number = reduce(lambda a, b: a | b, [kind.startswith(n) for n in _NUMBERS])
+def _walk(schema: dict, path: str = "$") -> Iterable[tuple[str, dict]]:
+    yield path, schema
+    for name, inner in schema.get("properties", {}).items():
+        yield from _walk(inner, f"{path}.{name}")
+
+
+def _kind(stated: Column) -> Column:
+    """The JSON type of a value by its variant schema: null if the field is missing."""
+    number = reduce(lambda a, b: a | b, [stated.startswith(n) for n in _NUMBERS])
     return (
-        F.when(value.isNull(), F.lit(None))
-        .when(F.is_variant_null(value), "null")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
+        F.when(stated == "VOID", "null")
+        .when(stated.startswith("OBJECT"), "object")
+        .when(stated.startswith("ARRAY"), "array")
+        .when(stated == "STRING", "string")
+        .when(stated == "BOOLEAN", "boolean")
         .when(number, "number")
-        .otherwise("other")
+        .when(stated.isNotNull(), "other")
     )
 
 
-def _keys(raw: Column, path: str) -> Column:
-    part = raw if path == "$" else F.get_json_object(raw, path)
-    return F.coalesce(F.json_object_keys(part), F.array().cast("array<string>"))
-
-
-def violations(raw: Column, variant: Column, schema: dict, path: str = "$") -> list[Column]:
-    """Columns that hold a violation's text, or null."""
+def with_facts(records: DataFrame, raw: str, schemas: Iterable[dict]) -> DataFrame:
+    """``records`` with variant and, for each path, its kind (_k), text (_t), number (_n) and keys (_f) as needed."""
+    nodes: dict[str, list[dict]] = {}
+    for schema in schemas:
+        for path, node in _walk(schema):
+            nodes.setdefault(path, []).append(node)
+    out = records.withColumn("variant", F.try_parse_json(F.col(raw)))
+    v, none = F.col("variant"), F.array().cast("array<string>")
+    found = []
+    for path, specs in nodes.items():
+        value = v if path == "$" else F.variant_get(v, path, "variant")
+        stated = F.schema_of_variant(value)
+        if path == "$":
+            # Always true, but not to the optimizer: it keeps later filters from
+            # being pushed below this projection and all facts computed twice.
+            stated = F.when(F.monotonically_increasing_id() >= 0, stated)
+        found.append(stated.alias(_name("s", path)))
+        if any("enum" in s or "minLength" in s for s in specs):
+            found.append(F.try_variant_get(v, path, "string").alias(_name("t", path)))
+        if any("minimum" in s or "maximum" in s for s in specs):
+            found.append(F.try_variant_get(v, path, "double").alias(_name("n", path)))
+        if any(s.get("additionalProperties") is False for s in specs):
+            part = F.col(raw) if path == "$" else F.get_json_object(raw, path)
+            found.append(F.coalesce(F.json_object_keys(part), none).alias(_name("f", path)))
+    out = out.select("*", *found)
+    return out.select(*[c for c in out.columns if not c.startswith("_s_")], *[_kind(F.col(_name("s", path))).alias(_name("k", path)) for path in nodes])
+
+
+def violations(schema: dict, path: str = "$") -> list[Column]:
+    """Columns over the facts that hold a violation's text, or null."""
     found: list[Column] = []
-    value = variant if path == "$" else F.variant_get(variant, path, "variant")
-    kind = _kind(value)
+    kind = F.col(_name("k", path))
     types = schema.get("type")
     if types:
         types = [types] if isinstance(types, str) else types
-        present = F.lit(True) if path == "$" else kind.isNotNull()
-        wrong = F.when(kind.isNull(), F.lit(True)).otherwise(~kind.isin(*types))
-        found.append(F.when(present & wrong, F.concat(F.lit(f"{path}: expected {' or '.join(types)}, found "), F.coalesce(kind, F.lit("no JSON")))))
+        wrong = F.when(kind.isNull(), F.lit(path == "$")).otherwise(~kind.isin(*types))
+        found.append(F.when(wrong, F.concat(F.lit(f"{path}: expected {' or '.join(types)}, found "), F.coalesce(kind, F.lit("no JSON")))))
+    text, number = F.col(_name("t", path)), F.col(_name("n", path))
     if "enum" in schema:
         allowed = [x for x in schema["enum"] if x is not None]
-        text = F.try_variant_get(value, "$", "string")
         found.append(F.when((kind == "string") & ~text.isin(*allowed), F.concat(F.lit(f"{path}: not an accepted value: "), text)))
     if "minLength" in schema:
-        found.append(F.when((kind == "string") & (F.length(F.try_variant_get(value, "$", "string")) < schema["minLength"]), F.lit(f"{path}: shorter than {schema['minLength']}")))
-    if "minimum" in schema or "maximum" in schema:
-        number = F.try_variant_get(value, "$", "double")
-        if "minimum" in schema:
-            found.append(F.when((kind == "number") & (number < schema["minimum"]), F.lit(f"{path}: under minimum {schema['minimum']}")))
-        if "maximum" in schema:
-            found.append(F.when((kind == "number") & (number > schema["maximum"]), F.lit(f"{path}: above maximum {schema['maximum']}")))
+        found.append(F.when((kind == "string") & (F.length(text) < schema["minLength"]), F.lit(f"{path}: shorter than {schema['minLength']}")))
+    if "minimum" in schema:
+        found.append(F.when((kind == "number") & (number < schema["minimum"]), F.lit(f"{path}: under minimum {schema['minimum']}")))
+    if "maximum" in schema:
+        found.append(F.when((kind == "number") & (number > schema["maximum"]), F.lit(f"{path}: above maximum {schema['maximum']}")))
     if "properties" in schema:
-        is_object = F.coalesce(kind == "object", F.lit(False))
+        is_object = kind == "object"
         for name in schema.get("required", []):
-            missing = F.variant_get(variant, f"{path}.{name}", "variant").isNull()
-            found.append(F.when(is_object & missing, F.lit(f"{path}: missing field '{name}'")))
+            found.append(F.when(is_object & F.col(_name("k", f"{path}.{name}")).isNull(), F.lit(f"{path}: missing field '{name}'")))
         if schema.get("additionalProperties") is False:
-            extra = F.array_sort(F.array_except(_keys(raw, path), F.array(*[F.lit(x) for x in schema["properties"]])))
-            found.append(F.when(is_object & (F.size(extra) > 0), F.concat(F.lit(f"{path}: unexpected field '"), F.array_join(extra, "', '"), F.lit("'"))))
+            extra = F.array_except(F.col(_name("f", path)), F.array(*[F.lit(x) for x in schema["properties"]]))
+            found.append(F.when(is_object & (F.size(extra) > 0), F.concat(F.lit(f"{path}: unexpected field '"), F.array_join(F.sort_array(extra), "', '"), F.lit("'"))))
         for name, inner in schema["properties"].items():
-            found += violations(raw, variant, inner, f"{path}.{name}")
+            found += violations(inner, f"{path}.{name}")
     return found
 
 
 def collected(found: list[Column]) -> Column:
     """The violations of a row, in order of their paths."""
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return F.sort_array(F.array_compact(F.array(*found)))
 
 
-def leftover(variant: Column, mapping: dict[str, str]) -> Column:
+def leftover(mapping: dict[str, str]) -> Column:
     """What the mapping to v1 can't move: a container that is there but null stays behind."""
     result = F.lit(None).cast("string")
     for container in sorted({p.split(".")[0] for p in mapping}):
-        value = F.variant_get(variant, f"$.{container}", "variant")
-        stays = value.isNotNull() & F.is_variant_null(value)
+        stays = F.col(_name("k", f"$.{container}")) == "null"
         result = F.coalesce(result, F.when(stays, F.lit(f"post-mapping v1 violation: $: unexpected field '{container}'")))
     return result
 

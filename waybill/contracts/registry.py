@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.contracts.compiler import canonical_path, collected, leftover, parsed, violations
+from waybill.contracts.compiler import canonical_path, collected, leftover, violations, with_facts
 from waybill.contracts.versions import CONTRACTS, MAPPINGS
 
 REASON_ERRORS, KEPT_ERRORS = 3, 5
@@ -58,14 +58,13 @@ class Registry:
         mapped form breaks v1 doesn't count.  The errors are the newest
         version's, or the last such break.
         """
-        out = records.withColumn("variant", parsed(F.col(raw)))
         newest_first = self.active[::-1]
-        for v in newest_first:
-            out = out.withColumn(f"_errors_{v}", collected(violations(F.col(raw), F.col("variant"), self.load(v))))
+        facts = with_facts(records, raw, [self.load(v) for v in self.active])
+        out = facts.select(*records.columns, "variant", *[collected(violations(self.load(v))).alias(f"_errors_{v}") for v in newest_first], *[leftover(self.mappings(v)).alias(f"_left_{v}") for v in newest_first])
         ok, broke = {}, {}
         for v in newest_first:
             clean = F.size(f"_errors_{v}") == 0
-            broke[v] = F.when(clean, leftover(F.col("variant"), self.mappings(v)))
+            broke[v] = F.when(clean, F.col(f"_left_{v}"))
             ok[v] = clean & broke[v].isNull()
         version = F.coalesce(*[F.when(ok[v], F.lit(v)) for v in newest_first])
         break_ = F.coalesce(*[broke[v] for v in self.active])
@@ -75,7 +74,7 @@ class Registry:
         out = out.withColumn("ok", F.col("_version").isNotNull()).withColumn("schema_version", F.coalesce("_version", F.lit("unknown")))
         out = out.withColumn("errors", F.when(F.col("ok"), none).otherwise(F.col("_found"))).withColumn("reason", F.array_join(F.slice("errors", 1, REASON_ERRORS), "; "))
         out = out.withColumn("observed_fields", F.array_join(F.array_sort(F.coalesce(F.json_object_keys(raw), none)), ","))
-        return out.drop("_version", "_found", *[f"_errors_{v}" for v in newest_first])
+        return out.drop("_version", "_found", *[f"_{x}_{v}" for x in ("errors", "left") for v in newest_first])
 
     def canonical(self, verdicts: DataFrame) -> DataFrame:
         """Accepted rows with the v1 fields as columns, from where each row's version keeps them."""

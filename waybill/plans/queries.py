@@ -212,8 +212,7 @@ def _batches(spark, sf_dir) -> list[DataFrame]:
 
 def merge_events(spark, sf_dir):
     first, second = (merge.fact_rows(b, AS_OF) for b in _batches(spark, sf_dir))
-    target = merge.merge_facts(empty(spark, "fact_shipment_events"), first).drop("_action")
-    return merge.merge_facts(target, second).drop("updated_at").withColumnRenamed("_action", "merge_action")
+    return merge.merge_facts(first, second).drop("updated_at").withColumnRenamed("_action", "merge_action")
 
 
 def _vault(table: str):
