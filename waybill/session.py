@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Joins over unions of partitioned inputs can fail with it.
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
