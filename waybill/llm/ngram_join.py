@@ -440,10 +440,10 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFra
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, row, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, row, n_shingles, component_id, component_row.
 
     component_id is the smallest doc_id reachable by links, the row's own
-    included.  Texts under five words have their whole sequence as one gram; a
+    included, and component_row the row it stands in.  Texts under five words have their whole sequence as one gram; a
     null text or one without words has none and links with nothing, so its
     component_id is its own doc_id.  Repeated rows link with each other.  A null
     doc_id is never the smallest unless the whole component has none.  Grams and
@@ -452,11 +452,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     """
     profiles, levels = profile(docs)
     labels = link_classes(docs, profiles, levels)
-    classes = profiles.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = profiles.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     classes = stage(classes, "components")
-    groups = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))
-    by_class = stage(attach_groups(classes, groups, "label", "members", F.col("cls")).select("cls", "component_id", "copies"), "class_components")
+    groups = classes.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("members"))
+    groups = groups.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"), "members")
+    by_class = stage(attach_groups(classes, groups, "label", "members", F.col("cls")).select("cls", "component_id", "component_row", "copies"), "class_components")
     own = profiles.select("doc_id", "row", "n", F.coalesce(F.col("cls").cast("string"), F.concat(F.lit("none"), F.col("row").cast("string"))).alias("ckey"))
-    out = attach_groups(own, by_class.select(F.col("cls").cast("string").alias("ckey"), "component_id", "copies"), "ckey", "copies", F.col("row"))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = attach_groups(own, by_class.select(F.col("cls").cast("string").alias("ckey"), "component_id", "component_row", "copies"), "ckey", "copies", F.col("row"))
+    alone = F.col("n") == 0
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("component_row")).alias("component_row"))

@@ -65,7 +65,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose word 5-grams overlap by 0.8 or more."""
     from waybill.llm.ngram_join import ngram_join
 
-    return ngram_join(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+    return ngram_join(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "component_row")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
