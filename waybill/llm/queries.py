@@ -47,6 +47,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), shards=24)
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perplexity of every document under a model of the documents labelled good."""
+    from waybill.llm.quality_lm import classify
+
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return classify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted).drop("row")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, from its text, declared language and source."""
     from waybill.llm.language_id import identify_documents
@@ -148,6 +156,7 @@ def queries() -> dict:
         "op2_substring_dedup": op2_substring_dedup,
         "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
+        "op6_quality_lm": op6_quality_lm,
         "op7_language_id": op7_language_id,
         "pages_language_id": pages_language_id,
         "op8_ngram_join": op8_ngram_join,
