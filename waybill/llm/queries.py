@@ -32,6 +32,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
 
+def op3_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector rendered as a recording; its fingerprint, class and the place of a noisy excerpt."""
+    from waybill.llm.audio_fingerprint import find_excerpts, recordings_of
+
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return find_excerpts(recordings_of(vectors)).drop("row").withColumnRenamed("id", "vec_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     from waybill.llm.warc import round_trip
@@ -154,6 +162,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_audio_fingerprint": op3_audio_fingerprint,
         "op4_warc": op4_warc,
         "op5_sharding": op5_sharding,
         "op6_quality_lm": op6_quality_lm,
