@@ -1 +1 @@
-
+"""Batch processing, streaming and replay."""
