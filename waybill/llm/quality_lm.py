@@ -23,7 +23,8 @@ from waybill.llm.common import attach_groups, key_of, partitions, stage
 ORDER = 5
 #: log2 of the rows in a chunk.
 CHUNK_BITS = 13
-SHARDS = 32
+#: The model has at least so many shards, and more where the session has more partitions.
+LEAST_SHARDS = 32
 #: Raw bytes of text in a blob, and in one go of counting.
 BLOB_BYTES, GO_BYTES = 4 << 20, 1 << 20
 #: A document stays while its perplexity is at most SLACK times this quantile of its language's trusted text.
@@ -49,9 +50,9 @@ def grams_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[whole], owner[: len(code)][whole]
 
 
-def shard_of(code: np.ndarray) -> np.ndarray:
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
     middle = (code >> np.uint64(8)) & np.uint64(0xFFFF)
-    return (((middle * np.uint64(40503)) >> np.uint64(4)) % np.uint64(SHARDS)).astype(np.int64)
+    return (((middle * np.uint64(40503)) >> np.uint64(4)) % np.uint64(shards)).astype(np.int64)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -108,14 +109,14 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return values, np.bincount(turn, weights=np.concatenate([p[1] for p in parts]), minlength=len(values)).astype(np.int64)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """From sorted (chunk, kind, blob, more, rows) to each chunk's grams with their counts in trusted text, by shard."""
     schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
     chunk, trusted, parts = None, set(), []
 
     def out():
         values, counts = _merged(parts)
-        shard = shard_of(values)
+        shard = shard_of(values, shards)
         picks = [(s, shard == s) for s in np.unique(shard).tolist()]
         return pa.RecordBatch.from_pydict({"shard": [s for s, _ in picks], "kind": [1] * len(picks), "chunk": [chunk] * len(picks), "grams": [_pack(values[m]) for _, m in picks], "counts": [zstandard.compress(counts[m].astype("<i8").tobytes(), 3) for _, m in picks]}, schema=schema)
 
@@ -266,12 +267,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    shards = max(LEAST_SHARDS, 2 * n)
     blobs = docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_blob_batches, BLOB_SCHEMA)
     known = stage(docs.select("doc_id", "row").join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("row"), "trusted")
     by_chunk = known.groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.collect_list("row").alias("rows"))
     marks = by_chunk.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("more"), "rows")
     first = marks.union(blobs).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    requests = stage(first.mapInArrow(_count_batches, "shard int, kind int, chunk long, grams binary, counts binary"), "requests")
+    requests = stage(first.mapInArrow(lambda batches: _count_batches(batches, shards), "shard int, kind int, chunk long, grams binary, counts binary"), "requests")
 
     tables = stage(requests.repartition(n, "shard").mapInArrow(_table_batches, "shard int, grams binary, counts binary, coc array<long>, pair array<int>, pair_n array<long>"), "tables")
     coc = tables.agg(*[F.coalesce(F.sum(F.col("coc")[i]), F.lit(0)).alias(f"n{i}") for i in range(12)]).first()
