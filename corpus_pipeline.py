@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, stage
+from waybill.llm.common import read_table, place, stage
 from waybill.llm.exact_dedup import exact_dedup
 from waybill.llm.language_id import identify_documents
 from waybill.llm.mixing import mix
@@ -23,7 +23,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     The key is a row's place in the Parquet input, so that each reading of the
     same input gives the same keys.
     """
-    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.struct("*").alias("doc"), place(docs))
 
 
 def _columns(rows: DataFrame, *names: str) -> DataFrame:

@@ -58,6 +58,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def place(docs: DataFrame) -> Column:
+    """Each row's place in ``docs``, a table read from files.
+
+    Operators read their input more than once and every reading must number it
+    alike.  Spark cuts files by the number of live cores, which falls when
+    executors are lost, unless a session fixes it; so it is fixed here.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    if not conf.get(name, None):
+        conf.set(name, conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(docs.sparkSession.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id().alias("row")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """The caller's key of a row where ``docs`` has ``row``, else its place."""
+    return F.col("row") if "row" in docs.columns else place(docs)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

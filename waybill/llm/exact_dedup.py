@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, partitions, stage
+from waybill.llm.common import attach_groups, partitions, row_key, stage
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -186,7 +186,7 @@ INDEX_SCHEMA = "digest binary, keep_id long, keep_row long, group_size long"
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """doc_id, row and SHA-256 of the normalised text for each row, written once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs))
     return stage(rows.mapInArrow(_digest_batches, "doc_id long, row long, digest binary"), "digests")
 
 

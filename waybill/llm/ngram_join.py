@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, partitions, stage
+from waybill.llm.common import attach_groups, partitions, row_key, stage
 from waybill.llm.components import Forest, components
 from waybill.llm.textscan import mix64, scans, shingle_hashes
 
@@ -380,7 +380,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def profile(docs: DataFrame) -> tuple[DataFrame, bytes]:
     """Profiles of all rows (doc_id, row, n, cls, vec), and the sketch's levels."""
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    row = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text"))
     seen = stage(rows.mapInArrow(_profile_batches, "doc_id long, row long, n long, cls long, vec binary, segment int"), "profiles")
     levels = seen.where("segment is not null").select("segment", "vec").groupBy("segment").applyInArrow(_levels, "segment int, level binary")
@@ -396,7 +396,7 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFra
     held = spark.sparkContext.broadcast(levels)
     # One row a class: its first text stands for it.
     reps = stage(profiles.where("n > 0").groupBy("cls").agg(F.min(F.struct("row", "n", "vec")).alias("rep")).select("cls", "rep.row", "rep.n", "rep.vec"), "classes")
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    row = row_key(docs)
     rows = docs.select(row, F.col("text").cast("string").alias("text"))
 
     rare = rows.mapInArrow(_block_batches(held), "gram long, cls long, n int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import stage
+from waybill.llm.common import row_key, stage
 from waybill.llm.textscan import scans
 
 SEQUENCE = 4096
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     rows are packed each; ``row`` is the caller's key where ``docs`` has it.
     Without rows the result is empty.  Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs), F.col("text").cast("string").alias("text"))
     pieces = stage(rows.mapInArrow(piece_batches(tokenizer_path, sequence, end_id), PIECE_SCHEMA), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)).cast("long"))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, key_of, partitions, stage
+from waybill.llm.common import attach_groups, key_of, partitions, row_key, stage
 
 ORDER = 5
 #: log2 of the rows in a chunk.
@@ -299,7 +299,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     rows every byte is equally likely.  Without rows the result is empty.  Other
     columns are not read.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    row = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text"), F.col("lang").cast("string").alias("lang"))
     scored = perplexities(rows, trusted.select(F.col("doc_id").cast("long").alias("doc_id")))
     scored = stage(rows.select("doc_id", "row", "lang", key_of("lang").alias("key")).join(scored, "row"), "perplexities")

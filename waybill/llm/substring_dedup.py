@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import partitions, stage
+from waybill.llm.common import partitions, row_key, stage
 from waybill.llm.textscan import Scan, _powers_for, mix64, scans
 
 #: A run of repeated units goes if it has so many words.
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stays null and has no units; a null doc_id ranks last; repeated rows repeat
     each other.  Without rows the result is empty.  Other columns are not read.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    row = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text"))
     units = stage(rows.mapInArrow(_unit_batches, "digest long, doc_id long, row long, unit int"), "units")
     n = partitions(docs.sparkSession)
