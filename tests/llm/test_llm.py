@@ -368,7 +368,7 @@ def test_audio(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 64)]) for i in range(12)] + [(3, None), (None, []), (20, [None] * 3)]
     rows.append((30, rows[5][1]))
-    got = find_excerpts(recordings_of(spark.createDataFrame(rows, "id long, vector array<float>"))).collect()
+    got = find_excerpts(recordings_of(spark.createDataFrame(rows, "id long, vector array<float>"))).where("kind = 'recording'").collect()
     assert len(got) == len(rows) and sum(x.matched for x in got) >= 12
     assert {x.class_id for x in got if x.id in (5, 30)} == {5}
     sound = tune(rows[0][1])
@@ -382,6 +382,62 @@ def test_audio(spark):
     assert all(x.codes == [] for x in fingerprint(bad).collect())
 
 
+def test_audio_search(spark):
+    """Recall against brute force over all offsets, with near and exact copies."""
+    from waybill.llm import audio_fingerprint as m
+
+    r = np.random.default_rng(6)
+    vectors = r.normal(0, 0.15, (160, 64))
+    for i in range(0, 160, 20):
+        vectors[i + 1] = vectors[i]
+        vectors[i + 2] = vectors[i] + (np.arange(64) % 16 == 0) * 0.05
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(None, None), (40, []), (40, [float(x) for x in vectors[40]])]
+    got = m.find_excerpts(m.recordings_of(spark.createDataFrame(rows, "id long, vector array<float>"))).where("kind = 'match'").collect()
+    assert not [x for x in got if x.id % 20 or x.bit_errors > m.MOST_ERRORS]
+    found = {(x.id, x.class_id) for x in got}
+    whole = [m.codes(m.chroma(m.samples_of(m.wav(m.tune([np.float32(y) for y in v]))))) for v in vectors]
+    want = set()
+    for i in range(0, 160, 20):
+        cut = m.codes(m.chroma(m.samples_of(m.wav(m.excerpt(m.tune([np.float32(y) for y in vectors[i]]), i)[0]))))
+        for j, a in enumerate(whole):
+            first = next(k for k in range(j + 1) if np.array_equal(whole[k], a))
+            errors = []
+            for offset in range(-len(cut), len(a)):
+                lo, hi = max(0, offset), min(len(a), offset + len(cut))
+                if hi - lo >= max(m.LEAST_FRAMES, m.SEARCH_SHARE * len(cut)):
+                    errors.append(np.bitwise_count(a[lo:hi] ^ cut[lo - offset : hi - offset]).sum() / (32 * (hi - lo)))
+            if min(errors, default=1) <= m.MOST_ERRORS:
+                want.add((i, first))
+    assert len(want) >= 16 and len(found & want) >= 0.9 * len(want) and found <= want
+    assert next(x.class_size for x in got if x.id == 40 and x.class_id == 40) == 3
+    silent = np.full(50, m.SILENCE, dtype=np.uint32)
+    assert m.align(silent, silent) is None
+
+
+def test_places_survive_lost_cores(spark, tmp_path):
+    """A row's key is the same whatever number of cores the next reading finds."""
+    from pyspark.sql import functions as F
+
+    from waybill.llm.common import place
+
+    path = str(tmp_path / "t")
+    spark.range(20_000).withColumn("text", F.md5(F.col("id").cast("string"))).repartition(3).write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    try:
+        docs = spark.read.parquet(path)
+        seen = []
+        for cores in ("8", "3"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+            rows = docs.select("id", place(docs))
+            seen.append((rows.rdd.getNumPartitions(), sorted(map(tuple, rows.collect()))))
+        assert seen[0] == seen[1] and seen[0][0] >= 8
+    finally:
+        for name in ("openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def test_hot_groups(spark):
     from pyspark.sql import functions as F
 

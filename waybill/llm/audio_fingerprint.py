@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, stage
+from waybill.llm.common import attach_groups, row_key, stage
 
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES = 12
@@ -29,6 +29,14 @@ STEP = 0.04
 LOOKUP_SHIFT = 8
 #: A match needs so many frames in common and at most this share of wrong bits.
 LEAST_FRAMES, MOST_ERRORS = 8, 0.25
+#: A search's match covers at least this share of the query's frames.
+SEARCH_SHARE = 0.5
+#: The code of silence, all responses zero: it says nothing about an offset.
+SILENCE = 0x55555555
+#: A search lays each query in so many index shards, so that no frequent key meets all recordings in one task.
+SALTS = 8
+#: A search takes as queries the rows whose id is a multiple of this.
+QUERY_STEP = 20
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -112,12 +120,13 @@ def codes(frames: np.ndarray) -> np.ndarray:
     return packed
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int] | None:
+def align(a: np.ndarray, b: np.ndarray, share: float = 0.0) -> tuple[int, float, int] | None:
     """Where ``b`` starts in ``a``, the share of wrong bits and the frames in common.
 
-    Equal lookup keys vote for an offset; of the five offsets with most votes
-    (ties by offset) the one with fewest wrong bits wins.  Without a vote or
-    LEAST_FRAMES in common there is none.
+    Equal lookup keys, silence apart, vote for an offset; of the five offsets
+    with most votes (ties by offset) the one with fewest wrong bits wins.
+    Without a vote, or LEAST_FRAMES and ``share`` of ``b`` in common, there is
+    none.
     """
     if not len(a) or not len(b):
         return None
@@ -125,13 +134,13 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float, int] | None:
     order = np.argsort(ka, kind="stable")
     lo, hi = np.searchsorted(ka[order], kb), np.searchsorted(ka[order], kb, side="right")
     votes = np.zeros(len(a) + len(b), dtype=np.int64)
-    for j in np.flatnonzero(hi > lo).tolist():
+    for j in np.flatnonzero((hi > lo) & (b != SILENCE)).tolist():
         votes[order[lo[j] : hi[j]] - j + len(b)] += 1
     best = None
     for slot in np.argsort(-votes, kind="stable")[:5].tolist():
         offset = slot - len(b)
         start, end = max(0, offset), min(len(a), offset + len(b))
-        if not votes[slot] or end - start < min(LEAST_FRAMES, len(b)):
+        if not votes[slot] or end - start < max(min(LEAST_FRAMES, len(b)), share * len(b)):
             continue
         wrong = np.bitwise_count(a[start:end] ^ b[start - offset : end - offset]).sum()
         found = (float(wrong) / (32 * (end - start)), -(end - start), offset)
@@ -153,17 +162,44 @@ def fingerprint(recordings: DataFrame) -> DataFrame:
     return recordings.select("id", "row", "media").mapInArrow(_fingerprint_batches, "id long, row long, codes array<long>")
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align_batches(share: float):
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("offset", pa.int64()), ("bit_errors", pa.float64()), ("overlap", pa.int64())])
-    for batch in batches:
-        out = [align(np.array(a or [], dtype=np.uint32), np.array(b or [], dtype=np.uint32)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        columns = list(zip(*[x or (None, None, None) for x in out], strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, schema.field(i + 2).type) for i, c in enumerate(columns)]], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [align(np.array(a or [], dtype=np.uint32), np.array(b or [], dtype=np.uint32), share) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            columns = list(zip(*[x or (None, None, None) for x in out], strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, schema.field(i + 2).type) for i, c in enumerate(columns)]], schema=schema)
+
+    return run
 
-def align_pairs(pairs: DataFrame) -> DataFrame:
+
+def align_pairs(pairs: DataFrame, share: float = 0.0) -> DataFrame:
     """(id, row, offset, bit_errors, overlap) for each row of ``pairs`` (id, row, codes, other); null where they don't align."""
-    return pairs.select("id", "row", "codes", "other").mapInArrow(_align_batches, "id long, row long, offset long, bit_errors double, overlap long")
+    return pairs.select("id", "row", "codes", "other").mapInArrow(_align_batches(share), "id long, row long, offset long, bit_errors double, overlap long")
+
+
+def _keys(rows: DataFrame, name: str) -> DataFrame:
+    """(row, at, key) for each code of the array ``name``, silence apart."""
+    spread = rows.select("row", F.posexplode(name).alias("at", "code")).where(F.col("code") != SILENCE)
+    return spread.select("row", "at", F.shiftright("code", LOOKUP_SHIFT).alias("key"))
+
+
+def search(recordings: DataFrame, queries: DataFrame) -> DataFrame:
+    """Align each of ``queries`` (row, other) with each of ``recordings`` (row, codes) that shares a lookup key.
+
+    Returns row (the query's), found_row, offset, bit_errors and overlap for the
+    pairs with at most MOST_ERRORS wrong bits over SEARCH_SHARE of the query.
+    The index proposes every recording with a vote, however many those are.  A
+    query without codes, or of silence alone, finds nothing.
+    """
+    salted = _keys(queries, "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    index = _keys(recordings, "codes").select(F.col("row").alias("found_row"), "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    # A vote is enough, so a key counts once a recording and once a query.
+    pairs = index.distinct().join(salted.select("row", "key", "salt").distinct(), ["key", "salt"]).select("row", "found_row").distinct()
+    pairs = pairs.join(recordings.select(F.col("row").alias("found_row"), "codes"), "found_row").join(queries, "row")
+    aligned = align_pairs(pairs.select(F.col("found_row").alias("id"), "row", "codes", "other"), SEARCH_SHARE)
+    return aligned.where(F.col("bit_errors") <= MOST_ERRORS).withColumnRenamed("id", "found_row")
 
 
 def tune(vector) -> np.ndarray:
@@ -206,17 +242,23 @@ def _digest(values: list) -> bytes | None:
 
 def recordings_of(vectors: DataFrame) -> DataFrame:
     """(id, row, media, cut, start): a rendered recording of each row of ``vectors`` (id, vector), and an excerpt."""
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col("vector").cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col("id").cast("long").alias("id"), row_key(vectors), F.col("vector").cast("array<float>").alias("vector"))
     return rows.mapInArrow(_render_batches, "id long, row long, media binary, cut binary, start long")
 
 
 def find_excerpts(recordings: DataFrame) -> DataFrame:
-    """Align each recording's excerpt with it, and tell recordings with equal codes.
-
-    ``recordings`` has id, row, media, cut, start.  Returns id, row, n_codes,
-    class_id (the least id with the same codes, its own if it has none),
-    class_size, start_frame, found_frame, bit_errors and matched: whether the
-    offset was found within one frame and the errors are at most MOST_ERRORS.
+    """Align each recording's excerpt with it, tell recordings with equal codes, and search all for the queries' excerpts.
+
+    ``recordings`` has id, row, media, cut, start; the queries are the rows whose
+    id is a multiple of QUERY_STEP.  Returns two kinds of rows.  One ``recording`` a row:
+    id, row, n_codes, class_id (the least id with the same codes, its own if it
+    has none), class_size, start_frame, found_frame, bit_errors and matched:
+    whether the offset was found within one frame and the errors are at most
+    MOST_ERRORS.  One ``match`` a query and class that ``search`` finds: id and
+    row of the query, class_id, class_size, start_frame, found_frame,
+    bit_errors and overlap.  Null, empty, short or unreadable media has no codes
+    and matches nothing; a null id is no query; repeated rows are one class.
+    Without rows the result is empty.
     """
 
     def both(batches):
@@ -231,9 +273,18 @@ def find_excerpts(recordings: DataFrame) -> DataFrame:
     found = stage(found, "codes")
     aligned = align_pairs(found)
     names = found.select("id", "row", "start", F.size("codes").alias("n_codes"), F.coalesce(F.hex("digest"), F.concat(F.lit("none"), F.col("row").cast("string"))).alias("key"))
-    names = names.join(aligned.drop("id"), "row")
-    groups = names.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = attach_groups(names, groups, "key", "class_size", F.col("row"))
+    groups = names.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"), F.max("n_codes").alias("codes"), F.count(F.lit(1)).alias("class_size"))
+    groups = stage(groups.select("key", F.col("least.id").alias("class_id"), F.col("least.row").alias("class_row"), "class_size", "codes"), "classes")
     frame = F.col("start") / HOP
+    start_frame, errors = F.round(frame, 3).alias("start_frame"), F.round("bit_errors", 6).alias("bit_errors")
+
+    out = attach_groups(names.join(aligned.drop("id"), "row"), groups.select("key", "class_id", "class_size"), "key", "class_size", F.col("row"))
     matched = (F.abs(F.col("offset") - frame) <= 1) & (F.col("bit_errors") <= MOST_ERRORS)
-    return out.select("id", "row", "n_codes", "class_id", "class_size", F.round(frame, 3).alias("start_frame"), F.col("offset").alias("found_frame"), F.round("bit_errors", 6).alias("bit_errors"), F.coalesce(matched, F.lit(False)).alias("matched"))
+    out = out.select("id", "row", F.lit("recording").alias("kind"), "n_codes", "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.coalesce(matched, F.lit(False)).alias("matched"))
+
+    classes = groups.where("codes > 0").select(F.col("class_row").alias("found_row"), "class_id", "class_size")
+    asked = found.where(F.col("id") % QUERY_STEP == 0)
+    firsts = found.select(F.col("row").alias("found_row"), "codes").join(classes.select("found_row"), "found_row", "left_semi").withColumnRenamed("found_row", "row")
+    hits = search(firsts, asked.select("row", "other")).join(classes, "found_row").join(asked.select("row", "id", "start"), "row")
+    hits = hits.select("id", "row", F.lit("match").alias("kind"), F.lit(None).cast("int").alias("n_codes"), "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.lit(None).cast("boolean").alias("matched"))
+    return out.unionByName(hits)

@@ -33,7 +33,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector rendered as a recording; its fingerprint, class and the place of a noisy excerpt."""
+    """Every vector rendered as a recording; its class, the place of a noisy excerpt, and all that the queries' excerpts match."""
     from waybill.llm.audio_fingerprint import find_excerpts, recordings_of
 
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
