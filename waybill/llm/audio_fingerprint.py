@@ -33,6 +33,8 @@ LEAST_FRAMES, MOST_ERRORS = 8, 0.25
 SEARCH_SHARE = 0.5
 #: The code of silence, all responses zero: it says nothing about an offset.
 SILENCE = 0x55555555
+#: Of the two bits of each filter the one that tells the response's sign.
+SIGNS = 0xAAAAAAAA
 #: A search lays each query in so many index shards, so that no frequent key meets all recordings in one task.
 SALTS = 8
 #: A search takes as queries the rows whose id is a multiple of this.
@@ -180,23 +182,32 @@ def align_pairs(pairs: DataFrame, share: float = 0.0) -> DataFrame:
 
 
 def _keys(rows: DataFrame, name: str) -> DataFrame:
-    """(row, at, key) for each code of the array ``name``, silence apart."""
-    spread = rows.select("row", F.posexplode(name).alias("at", "code")).where(F.col("code") != SILENCE)
-    return spread.select("row", "at", F.shiftright("code", LOOKUP_SHIFT).alias("key"))
+    """(row, key) for the distinct index keys of the array ``name``.
+
+    A key holds the signs of the responses, which noise flips least, of two
+    codes LEAST_FRAMES apart; two silent codes make none.
+    """
+    n = F.greatest(F.size(name) - LEAST_FRAMES, F.lit(0))
+
+    def signs(a, b):
+        key = a.bitwiseAND(F.lit(SIGNS)).bitwiseOR(F.shiftright(b.bitwiseAND(F.lit(SIGNS)), 1))
+        return F.when((a != SILENCE) | (b != SILENCE), key)
+
+    keys = F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(1 + LEAST_FRAMES), n), signs)
+    return rows.select("row", F.explode(F.array_compact(F.array_distinct(keys))).alias("key"))
 
 
 def search(recordings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Align each of ``queries`` (row, other) with each of ``recordings`` (row, codes) that shares a lookup key.
+    """Align each of ``queries`` (row, other) with each of ``recordings`` (row, codes) that shares an index key.
 
     Returns row (the query's), found_row, offset, bit_errors and overlap for the
     pairs with at most MOST_ERRORS wrong bits over SEARCH_SHARE of the query.
-    The index proposes every recording with a vote, however many those are.  A
-    query without codes, or of silence alone, finds nothing.
+    The index proposes every recording that shares a key, however many those
+    are.  A query of silence, or of LEAST_FRAMES codes or fewer, finds nothing.
     """
     salted = _keys(queries, "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     index = _keys(recordings, "codes").select(F.col("row").alias("found_row"), "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    # A vote is enough, so a key counts once a recording and once a query.
-    pairs = index.distinct().join(salted.select("row", "key", "salt").distinct(), ["key", "salt"]).select("row", "found_row").distinct()
+    pairs = index.join(salted, ["key", "salt"]).select("row", "found_row").distinct()
     pairs = pairs.join(recordings.select(F.col("row").alias("found_row"), "codes"), "found_row").join(queries, "row")
     aligned = align_pairs(pairs.select(F.col("found_row").alias("id"), "row", "codes", "other"), SEARCH_SHARE)
     return aligned.where(F.col("bit_errors") <= MOST_ERRORS).withColumnRenamed("id", "found_row")
