@@ -248,6 +248,24 @@ def test_packing(docs, nothing):
         assert at <= 64
 
 
+def test_packing_special_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waybill.llm.packing import PIECE_SCHEMA, piece_batches
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = ["<|endoftext|>", "<|EndOfText|>", "foo<|startoftext|>bar", "<|", "|>", " ", "\n", "end", "É.", "I'LL", "!?", "42"]
+    r = random.Random(5)
+    texts = [None, *pieces, *["".join(r.choices(pieces, k=r.randint(2, 12))) for _ in range(2000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "row", "text"])
+    (found,) = piece_batches(path, 4096, 2)(iter([batch]))
+    assert found.schema.names == [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+    coder = Tokenizer.from_file(path)
+    want = [zlib.crc32(np.array([*coder.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for t in texts]
+    assert found["ids_crc32"].to_pylist() == want
+
+
 def test_first_fit_decreasing():
     from waybill.llm.packing import first_fit_decreasing
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ class WordIds:
 
     The vocabulary's pattern never matches across white space, so the ids of a
     text are those of its words in turn, and a run of ``.,;:!?`` behind a Latin
-    letter is a piece of its own.  Words are told apart by 64-bit hashes.
+    letter is a piece of its own.  Words are told apart by 64-bit hashes.  Texts
+    that hold the string of a special token are left to the tokenizer: it looks
+    for these before it folds case.
     """
 
     def __init__(self, path: str):
@@ -40,14 +43,26 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        #: Whole texts, special tokens among them; words, in which folding may have made their strings.
+        self.plain, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.plain.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         #: Ids that end a piece.
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
+    def holds_special(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text holds the string of a special token."""
+        found = np.zeros(len(texts), dtype=bool)
+        for string in self.special:
+            found |= pc.fill_null(pc.match_substring(texts, string), False).to_numpy(zero_copy_only=False)
+        return found
+
+    def ids_of_whole(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     def _clear(self) -> None:
         #: Hashes of the known words in order, and the place of each in start and count.
         self.known = np.zeros(0, dtype=np.uint64)
@@ -156,12 +171,14 @@ def piece_batches(path: str, sequence: int, end_id: int):
             _CODERS[path] = WordIds(path)
         coder = _CODERS[path]
         for batch in batches:
-            doc_ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            special = coder.holds_special(texts)
             out: list[list] = [[] for _ in range(6)]
-            for first, scan in scans(batch.column(2), fold=True):
+            for first, scan in scans(texts, fold=True):
                 ids, at = coder.encode(scan)
                 for i in range(scan.n_docs):
-                    own = np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
+                    own = coder.ids_of_whole(texts[first + i].as_py()) if special[first + i] else ids[at[i] : at[i + 1]]
+                    own = np.append(own, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(own), sequence):
                         piece = own[start : start + sequence]
                         for column, value in zip(out, (doc_ids[first + i], rows[first + i], start, len(piece), zlib.crc32(piece.tobytes()), len(own)), strict=True):
