@@ -50,8 +50,8 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     batches (digest set); the others are known to be repeats (digest null).
     """
     for batch in batches:
-        doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        doc_ids = np.where(np.isnan(doc_ids), np.inf, doc_ids)
+        nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        doc_ids = batch.column(0).fill_null(0).to_numpy()
         rows = batch.column(1).to_numpy()
         digests, docs, units = [], [], []
         for first_row, scan in scans(batch.column(2), fold=True):
@@ -63,7 +63,7 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not digests:
             continue
         digest, doc, unit = np.concatenate(digests), np.concatenate(docs), np.concatenate(units)
-        order = np.lexsort((unit, rows[doc], doc_ids[doc], digest))
+        order = np.lexsort((unit, rows[doc], doc_ids[doc], nameless[doc], digest))
         digest, doc, unit = digest[order], doc[order], unit[order]
         fresh = np.ones(len(digest), dtype=bool)
         fresh[1:] = digest[1:] != digest[:-1]
