@@ -350,6 +350,29 @@ def test_language_id(spark, docs, nothing):
     assert tuple(pages.where("page_id = 1").select(host, domain, suffix).first()) == ("www.a.de", "a.de", "de")
 
 
+def test_language_id_rejects_other_languages(spark):
+    """Texts in unlisted languages and letter junk, among and declared as listed ones."""
+    from waybill.llm.language_id import identify_documents
+
+    r = random.Random(9)
+    stems = {"en": "the that with this have from there which would their about other".split(), "de": "der die und nicht auch eine werden sich nach über können schon".split()}
+    rows = []
+    for i in range(600):
+        lang = ["en", "de"][i % 2]
+        rows.append((i, " ".join(r.choice(stems[lang]) for _ in range(r.randrange(3, 120))), f"s{i % 3}", lang))
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由,在尊严和权利上一律平等",
+        *[" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(100)) for _ in range(5)],
+    ]
+    strange = [(1000 + i, t, "s0", [None, "fi", "xx"][i % 3]) for i, t in enumerate(other)]
+    got = {x.doc_id: x for x in identify_documents(spark.createDataFrame(rows + strange, "doc_id long, text string, source string, lang string")).collect()}
+    assert not [d for d, *_ in strange if got[d].kept]
+    assert sum(got[d].kept and got[d].lang == lang for d, _, _, lang in rows) >= 0.98 * len(rows)
+
+
 def test_quality_model(spark, docs, nothing):
     from waybill.llm.quality_lm import classify
 
