@@ -192,6 +192,39 @@ def test_ngram_join_large_groups(spark, monkeypatch, held):
         assert len({x.component_id for x in m.ngram_join(df).collect()}) == len({c for _, _, c in brute_components(rows)})
 
 
+@pytest.mark.parametrize("size", [3, 7, 10, 64])
+def test_ngram_join_blocks_across_batches(size):
+    """Blocks with repeated rows, cut by batches and by the limit, keep every pair of close sizes."""
+    from waybill.llm.components import Forest
+    from waybill.llm.ngram_join import _shared_batches
+
+    r = random.Random(size)
+    for _ in range(40):
+        most, sizes, rows = r.choice([5, 8, 20]), {}, []
+        for gram in range(8):
+            for cls in r.sample(range(60), r.choice([1, 2, 3, 4, 5, 7, 9, 12, 30])):
+                rows += [(gram, sizes.setdefault(cls, r.randrange(40, 80)), cls)] * r.randrange(1, 6)
+        rows.sort()
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + size]]) for k in (0, 2, 1)], ["gram", "cls", "n"]) for i in range(0, len(rows), size)]
+        out = [x for b in _shared_batches(iter(batches), most) for x in b.to_pylist()]
+        assert all(x["a"] != x["b"] for x in out)
+        forest, blocks = Forest(60), defaultdict(list)
+        for x in out:
+            if x["b"] is None:
+                blocks[x["gram"]].append(x["a"])
+            else:
+                forest.join(x["a"], x["b"])
+        for members in blocks.values():
+            assert len(set(members)) == len(members)
+            for a in members:
+                forest.join(members[0], a)
+        for gram in range(8):
+            own = {c for g, _, c in rows if g == gram}
+            assert all(forest.find(a) == forest.find(b) for a in own for b in own if 80 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]))
+            # A block is handed out whole or not at all.
+            assert gram not in blocks or set(blocks[gram]) == own
+
+
 def test_count_tree():
     from waybill.llm.ngram_join import CountTree, needed, vector
 

@@ -197,11 +197,13 @@ def _block_batches(levels):
     return run
 
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_batches(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (gram, n, cls): those whose gram has another class.
 
     Blocks of up to SMALL members come back as pairs (a, b), larger ones row by
-    row with b null; a block beyond HELD members is connected in order of size.
+    row with b null; a block beyond ``most`` members is connected in order of
+    size.  Each map task may repeat a row; members are counted without repeats,
+    so that all parts of a block go one way.
     """
     schema = pa.schema([("gram", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
     held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
@@ -216,9 +218,6 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         nonlocal tail
         if not len(gram):
             return
-        keep = np.ones(len(gram), dtype=bool)
-        keep[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        gram, cls, n = gram[keep], cls[keep], n[keep]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
         size = np.diff(np.concatenate([start, [len(gram)]]))
         if tail and tail[0] == gram[0]:
@@ -245,10 +244,10 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         pairs = np.unique(np.concatenate(pairs), axis=0)
         if len(pairs):
             yield out(np.zeros(1, dtype=np.int64), pairs[:, 0], pairs[:, 1], False)
-        large = (per > SMALL) & (per <= HELD)
+        large = (per > SMALL) & (per <= most)
         if large.any():
             yield out(gram[large], cls[large], pa.nulls(int(large.sum()), pa.int64()), False)
-        huge = np.flatnonzero(per > HELD)
+        huge = np.flatnonzero(per > most)
         if len(huge):
             i = huge[:-1][(gram[huge[:-1]] == gram[huge[1:]]) & (NUM * n[huge[1:]] <= DEN * n[huge[:-1]])]
             if len(i):
@@ -258,11 +257,17 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         new = [batch.column(k).to_numpy().astype(np.int64) for k in range(3)]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        fresh = np.ones(len(held[0]), dtype=bool)
+        fresh[1:] = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+        if tail and len(fresh):
+            # Right after a flush a row may repeat the last one that went out.
+            fresh[: np.searchsorted(~((held[0] == tail[0]) & (held[1] == tail[1])), True)] = False
+        held = [x[fresh] for x in held]
         last = np.searchsorted(-(held[0][::-1] == held[0][-1]).astype(np.int8), 0) if len(held[0]) else 0
         open_from = len(held[0]) - int(last)
-        if open_from == 0 and len(held[0]) <= HELD:
+        if open_from == 0 and len(held[0]) <= most:
             continue
-        if len(held[0]) - open_from > HELD:
+        if len(held[0]) - open_from > most:
             # The open block is too large to hold: it goes out in order.
             yield from work(*(x[:open_from] for x in held))
             yield from work(*(x[open_from:] for x in held))
@@ -401,7 +406,8 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFra
 
     rare = rows.mapInArrow(_block_batches(held), "gram long, cls long, n int")
     sorted_ = rare.repartition(n, "gram").sortWithinPartitions("gram", "n", "cls")
-    shared = stage(sorted_.mapInArrow(_shared_batches, "gram long, a long, b long, sure boolean"), "shared")
+    most = HELD
+    shared = stage(sorted_.mapInArrow(lambda batches: _shared_batches(batches, most), "gram long, a long, b long, sure boolean"), "shared")
 
     points = reps.select("cls", "n", "vec")
     blocks = shared.where("b is null").select("gram", F.col("a").alias("cls")).join(points, "cls").select("gram", "cls", "n", "vec")
