@@ -417,6 +417,42 @@ def test_quality_model(spark, docs, nothing):
     assert all(got[i].kept for i in range(20, 70)) and not got[90].kept
 
 
+def test_quality_model_word_order(spark):
+    """Shuffled words cost more than the order that trusted text has."""
+    from waybill.llm.quality_lm import classify
+
+    r = random.Random(11)
+    phrases = [[f"w{p}x{k}" for k in range(6)] for p in range(30)]
+    line = lambda: [w for _ in range(12) for w in r.choice(phrases)]
+    rows = [(i, " ".join(line()), "en") for i in range(60)]
+    for i in range(20):
+        words = line()
+        rows.append((100 + i, " ".join(words), "en"))
+        r.shuffle(words)
+        rows.append((200 + i, " ".join(words), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in classify(df, spark.range(60).toDF("doc_id")).collect()}
+    assert not any(got[200 + i].kept for i in range(20))
+    assert all(got[200 + i].perplexity > 3 * got[100 + i].perplexity for i in range(20))
+
+
+def test_word_model_sums_to_one():
+    from waybill.llm import quality_lm as q
+
+    code, owner = q.word_grams_of([q.folded(t) for t in (prose(1, 50), "", prose(2, 3), "One")])
+    assert np.bincount(owner).tolist() == [51, 1, 4, 2]
+    values, counts = np.unique(code, return_counts=True)
+    two, c2 = q.lower(values, 2, q.WORD_BITS)
+    one, c1 = q.lower(two, 1, q.WORD_BITS)
+    p1 = q.word_order(one, c1)
+    orders = [q.Order(v, c, q.discounts(q.counts_of_counts(c)), q.WORD_BITS) for v, c in ((two, c2), (values, counts))]
+    for context in np.unique(values >> np.uint64(q.WORD_BITS))[:5]:
+        grams = (context << np.uint64(q.WORD_BITS)) | np.arange(1 << q.WORD_BITS, dtype=np.uint64)
+        p = orders[0].prob(grams & np.uint64((1 << 2 * q.WORD_BITS) - 1), p1)
+        assert abs(p.sum() - 1) < 1e-9
+        assert abs(orders[1].prob(grams, p).sum() - 1) < 1e-9
+
+
 def test_kneser_ney_sums_to_one():
     from waybill.llm import quality_lm as q
 

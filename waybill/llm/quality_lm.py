@@ -1,16 +1,19 @@
 """Perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model's grams are 5 bytes of the folded text, so that it is open to any
-word.  Counts of trusted text are sharded by a gram's third and fourth byte:
-a shard then holds all that orders 5, 4 and 3 of its grams need.  Orders 2 and
-1 have at most 65,536 cells and are the only part of the model that is
-broadcast.  Text goes by chunks of rows: a chunk asks the shards for its
-distinct grams and scores its documents with the answers.
+The model's grams are three folded words, each hashed to WORD_BITS bits, so that
+it is open to any word.  Counts of trusted text are sharded by a gram's middle
+word: a shard then holds all that orders 3 and 2 of its grams need.  Order 1 has
+1 << WORD_BITS cells and is the only part of the model that is broadcast.  Text
+goes by chunks of rows: a chunk asks the shards for its distinct grams and
+scores its documents with the answers.  ``grams_of`` and ``low_orders`` are the
+same for bytes, with ``lower`` and ``Order`` at their default of 8 bits;
+``classify`` does not use them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, key_of, partitions, row_key, stage
+from waybill.llm.common import attach_groups, key_of, partitions, row_key, stage, text_or_empty
+from waybill.llm.textscan import scans
 
+#: Bytes in a gram of ``grams_of``.
 ORDER = 5
+#: log2 of the cells that words are hashed to; three make a gram of 60 bits.
+WORD_BITS = 20
 #: log2 of the rows in a chunk.
 CHUNK_BITS = 13
 #: The model has at least so many shards, and more where the session has more partitions.
@@ -29,6 +36,10 @@ LEAST_SHARDS = 32
 BLOB_BYTES, GO_BYTES = 4 << 20, 1 << 20
 #: A document stays while its perplexity is at most SLACK times this quantile of its language's trusted text.
 QUANTILE, SLACK = 0.99, 1.5
+#: One trusted text in so many is held out of the counts, to see what good text costs that they don't hold.
+FOLDS = 5
+#: A language with fewer held-out rows takes the quantile of a log-normal with their moments.
+LEAST_HELD = 100
 _START, _END = b"\x01" * (ORDER - 1), b"\x02"
 
 
@@ -50,9 +61,27 @@ def grams_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[whole], owner[: len(code)][whole]
 
 
+def word_grams_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every document's word trigrams, one for each word and for its end, and whose they are."""
+    words, n = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for _, scan in scans(pa.array(docs, pa.binary()), fold=False):
+        # Cells 0 and 1 stand for the start and the end.
+        words.append(np.maximum(scan.word_hashes() >> np.uint64(64 - WORD_BITS), np.uint64(2)))
+        n.append(np.diff(scan.first))
+    words, n = np.concatenate(words), np.concatenate(n)
+    owner = np.repeat(np.arange(len(docs)), n + 3)
+    line = np.zeros(len(owner), dtype=np.uint64)
+    line[np.arange(len(words)) + 3 * np.repeat(np.arange(len(docs)), n) + 2] = words
+    line[np.cumsum(n + 3) - 1] = 1
+    bits = np.uint64(WORD_BITS)
+    code = (line[:-2] << bits | line[1:-1]) << bits | line[2:]
+    whole = owner[:-2] == owner[2:]
+    return code[whole], owner[:-2][whole]
+
+
 def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
-    middle = (code >> np.uint64(8)) & np.uint64(0xFFFF)
-    return (((middle * np.uint64(40503)) >> np.uint64(4)) % np.uint64(shards)).astype(np.int64)
+    """By the middle word; its cell is a hash already."""
+    return ((code >> np.uint64(WORD_BITS) & np.uint64((1 << WORD_BITS) - 1)) % np.uint64(shards)).astype(np.int64)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -110,15 +139,20 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """From sorted (chunk, kind, blob, more, rows) to each chunk's grams with their counts in trusted text, by shard."""
+    """From sorted (chunk, kind, blob, more, rows) to each chunk's grams (kind 1) and those of its trusted text with counts (kind 2), by shard."""
     schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
     chunk, trusted, parts = None, set(), []
 
     def out():
         values, counts = _merged(parts)
         shard = shard_of(values, shards)
-        picks = [(s, shard == s) for s in np.unique(shard).tolist()]
-        return pa.RecordBatch.from_pydict({"shard": [s for s, _ in picks], "kind": [1] * len(picks), "chunk": [chunk] * len(picks), "grams": [_pack(values[m]) for _, m in picks], "counts": [zstandard.compress(counts[m].astype("<i8").tobytes(), 3) for _, m in picks]}, schema=schema)
+        rows = []
+        for s in np.unique(shard).tolist():
+            own, n = values[shard == s], counts[shard == s]
+            rows.append({"shard": s, "kind": 1, "chunk": chunk, "grams": _pack(own), "counts": None})
+            if n.any():
+                rows.append({"shard": s, "kind": 2, "chunk": chunk, "grams": _pack(own[n > 0]), "counts": zstandard.compress(n[n > 0].astype("<i8").tobytes(), 3)})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     for batch in batches:
         for c, kind, blob, _, rows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -130,7 +164,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[p
                 trusted.update(rows)
                 continue
             for first, docs in _goes(blob):
-                code, owner = grams_of(docs)
+                code, owner = word_grams_of(docs)
                 known = np.array([r in trusted for r in rows[first : first + len(docs)]], dtype=np.int64)
                 values, turn = np.unique(code, return_inverse=True)
                 parts.append((values, np.bincount(turn, weights=known[owner], minlength=len(values)).astype(np.int64)))
@@ -144,29 +178,28 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def lower(values: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Continuation counts: of grams of ``order`` + 1, the distinct ones without their first byte."""
-    return np.unique(values & np.uint64((1 << 8 * order) - 1), return_counts=True)
+def lower(values: np.ndarray, order: int, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Continuation counts: of grams of ``order`` + 1, the distinct ones without their first byte or word."""
+    return np.unique(values & np.uint64((1 << bits * order) - 1), return_counts=True)
 
 
 def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each shard's counts over all chunks, with what the other orders need to know of it."""
-    schema = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("coc", pa.list_(pa.int64())), ("pair", pa.list_(pa.int32())), ("pair_n", pa.list_(pa.int64()))])
+    schema = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("coc", pa.list_(pa.int64())), ("word", pa.list_(pa.int32())), ("word_n", pa.list_(pa.int64()))])
     held: dict[int, list] = {}
     for batch in batches:
         for shard, grams, counts in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
             values, n = _unpack(grams), np.frombuffer(zstandard.decompress(counts), dtype="<i8")
             parts = held.setdefault(shard, [])
-            parts.append((values[n > 0], n[n > 0]))
+            parts.append((values, n))
             if len(parts) > 16:
                 held[shard] = [_merged(parts)]
     for shard, parts in held.items():
         values, counts = _merged(parts)
-        four, c4 = lower(values, 4)
-        three, c3 = lower(four, 3)
-        two, c2 = lower(three, 2)
-        coc = counts_of_counts(counts) + counts_of_counts(c4) + counts_of_counts(c3)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "grams": [_pack(values)], "counts": [zstandard.compress(counts.astype("<i8").tobytes(), 3)], "coc": [coc], "pair": [two.astype(np.int32).tolist()], "pair_n": [c2.tolist()]}, schema=schema)
+        two, c2 = lower(values, 2, WORD_BITS)
+        one, c1 = lower(two, 1, WORD_BITS)
+        coc = counts_of_counts(counts) + counts_of_counts(c2)
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "grams": [_pack(values)], "counts": [zstandard.compress(counts.astype("<i8").tobytes(), 3)], "coc": [coc], "word": [one.astype(np.int32)], "word_n": [c1.astype(np.int64)]}, schema=schema)
 
 
 def discounts(coc: list[int]) -> tuple[float, float, float]:
@@ -182,11 +215,11 @@ def discounts(coc: list[int]) -> tuple[float, float, float]:
 class Order:
     """One order: discounted counts by gram, and mass and back-off weight by context."""
 
-    def __init__(self, values: np.ndarray, counts: np.ndarray, d: tuple[float, float, float]):
-        self.values = values
+    def __init__(self, values: np.ndarray, counts: np.ndarray, d: tuple[float, float, float], bits: int = 8):
+        self.values, self.bits = values, np.uint64(bits)
         cut = np.array([0.0, *d])[np.minimum(counts, 3)]
         self.part = counts - cut
-        self.context, turn = np.unique(values >> np.uint64(8), return_inverse=True)
+        self.context, turn = np.unique(values >> self.bits, return_inverse=True)
         total = np.bincount(turn, weights=counts, minlength=len(self.context))
         self.total = total
         self.back = np.bincount(turn, weights=cut, minlength=len(self.context)) / np.maximum(total, 1)
@@ -197,7 +230,7 @@ class Order:
             return below
         at = np.minimum(np.searchsorted(self.values, grams), len(self.values) - 1)
         part = np.where(self.values[at] == grams, self.part[at], 0.0)
-        context = grams >> np.uint64(8)
+        context = grams >> self.bits
         where = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
         return np.where(self.context[where] == context, part / self.total[where] + self.back[where] * below, below)
 
@@ -213,11 +246,17 @@ def low_orders(pairs: dict[int, int]) -> np.ndarray:
     return Order(two, c2, discounts(counts_of_counts(c2))).prob(every, np.tile(p1, 256)) if len(two) else np.tile(p1, 256)
 
 
+def word_order(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The probabilities of order 1 for all cells, from sorted words' continuation counts."""
+    uniform = np.full(1 << WORD_BITS, 1 / (1 << WORD_BITS))
+    return Order(words, counts, discounts(counts_of_counts(counts)), WORD_BITS).prob(np.arange(1 << WORD_BITS, dtype=np.uint64), uniform)
+
+
 def _answer_batches(low, cuts: list[tuple[float, float, float]]):
     """From sorted (shard, kind, chunk, grams, counts) with the shard's table first to each request's log-probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p2 = np.frombuffer(low.value, dtype="<f8")
+        p1 = np.frombuffer(low.value, dtype="<f4")
         shard, orders = None, []
         for batch in batches:
             for s, kind, chunk, grams, counts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -226,13 +265,12 @@ def _answer_batches(low, cuts: list[tuple[float, float, float]]):
                     shard, orders = s, []
                 if kind == 0:
                     n = np.frombuffer(zstandard.decompress(counts), dtype="<i8")
-                    four, c4 = lower(values, 4)
-                    three, c3 = lower(four, 3)
-                    orders = [Order(three, c3, cuts[2]), Order(four, c4, cuts[1]), Order(values, n, cuts[0])]
+                    two, c2 = lower(values, 2, WORD_BITS)
+                    orders = [Order(two, c2, cuts[1], WORD_BITS), Order(values, n, cuts[0], WORD_BITS)]
                     continue
-                p = p2[(values & np.uint64(0xFFFF)).astype(np.int64)]
-                for k, order in zip((3, 4, 5), orders, strict=False):
-                    p = order.prob(values & np.uint64((1 << 8 * k) - 1), p)
+                p = p1[(values & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)].astype(np.float64)
+                for k, order in zip((2, 3), orders, strict=False):
+                    p = order.prob(values & np.uint64((1 << WORD_BITS * k) - 1), p)
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [0], "blob": [grams], "more": [zstandard.compress(np.log(p).astype("<f4").tobytes(), 3)], "rows": [None]}, schema=_BLOB)
 
     return run
@@ -254,38 +292,42 @@ def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 values, logs, answers = values[order], logs[order], []
             n, total = [], []
             for _, docs in _goes(blob):
-                code, owner = grams_of(docs)
+                code, owner = word_grams_of(docs)
                 n.append(np.bincount(owner, minlength=len(docs)))
                 total.append(np.bincount(owner, weights=logs[np.searchsorted(values, code)], minlength=len(docs)))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))], ["row", "n", "logp"])
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(row, perplexity, trusted) for each row of ``docs`` (doc_id, text, row).
+    """(row, perplexity, trusted, held) for each row of ``docs`` (doc_id, text, row).
 
-    The model counts every row whose doc_id is in ``trusted`` (doc_id), whole.
+    The model counts the rows whose doc_id is in ``trusted`` (doc_id), whole,
+    but for those held out: one in FOLDS by a hash of the text, so that a
+    text's copies go one way.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     shards = max(LEAST_SHARDS, 2 * n)
     blobs = docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_blob_batches, BLOB_SCHEMA)
-    known = stage(docs.select("doc_id", "row").join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("row"), "trusted")
-    by_chunk = known.groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.collect_list("row").alias("rows"))
+    own = docs.select("doc_id", "row", (F.pmod(F.xxhash64(text_or_empty()), F.lit(FOLDS)) == 0).alias("held"))
+    known = stage(own.join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("row", "held"), "trusted")
+    by_chunk = known.where("not held").groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.collect_list("row").alias("rows"))
     marks = by_chunk.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("more"), "rows")
     first = marks.union(blobs).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     requests = stage(first.mapInArrow(lambda batches: _count_batches(batches, shards), "shard int, kind int, chunk long, grams binary, counts binary"), "requests")
 
-    tables = stage(requests.repartition(n, "shard").mapInArrow(_table_batches, "shard int, grams binary, counts binary, coc array<long>, pair array<int>, pair_n array<long>"), "tables")
-    coc = tables.agg(*[F.coalesce(F.sum(F.col("coc")[i]), F.lit(0)).alias(f"n{i}") for i in range(12)]).first()
-    pairs = tables.select(F.explode(F.arrays_zip("pair", "pair_n")).alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.pair_n").alias("n"))
-    low = low_orders({r.pair: r.n for r in pairs.collect()})  # at most 65,536 rows
-    cuts = [discounts([coc[f"n{4 * k + i}"] for i in range(4)]) for k in range(3)]
-    held = spark.sparkContext.broadcast(low.astype("<f8").tobytes())
-    asked = tables.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "grams", "counts").union(requests.select("shard", "kind", "chunk", "grams", F.lit(None).cast("binary").alias("counts")))
+    tables = stage(requests.where("kind = 2").repartition(n, "shard").mapInArrow(_table_batches, "shard int, grams binary, counts binary, coc array<long>, word array<int>, word_n array<long>"), "tables")
+    coc = tables.agg(*[F.coalesce(F.sum(F.col("coc")[i]), F.lit(0)).alias(f"n{i}") for i in range(8)]).first()
+    words = tables.select(F.explode(F.arrays_zip("word", "word_n")).alias("w")).groupBy(F.col("w.word").alias("word")).agg(F.sum("w.word_n").alias("n"))
+    words = words.toArrow().sort_by("word")  # at most 1 << WORD_BITS rows
+    low = word_order(words["word"].to_numpy().astype(np.uint64), words["n"].to_numpy())
+    cuts = [discounts([coc[f"n{4 * k + i}"] for i in range(4)]) for k in range(2)]
+    held = spark.sparkContext.broadcast(low.astype("<f4").tobytes())
+    asked = tables.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "grams", "counts").union(requests.where("kind = 1").select("shard", "kind", "chunk", "grams", "counts"))
     answers = asked.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer_batches(held, cuts), BLOB_SCHEMA)
     second = answers.union(blobs).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     scores = second.mapInArrow(_score_batches, "row long, n long, logp double")
-    return scores.join(known.withColumn("trusted", F.lit(True)), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return scores.join(known.withColumn("trusted", F.lit(True)), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -296,7 +338,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     rows.  Returns doc_id, row, lang, perplexity, threshold, kept.  An empty or
     null text is judged by its end alone; a null lang is a language of its own;
     a null doc_id is never trusted; repeated rows count each.  Without trusted
-    rows every byte is equally likely.  Without rows the result is empty.  Other
+    rows every word is equally likely.  Without rows the result is empty.  Other
     columns are not read.
     """
     row = row_key(docs)
@@ -304,6 +346,11 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     scored = perplexities(rows, trusted.select(F.col("doc_id").cast("long").alias("doc_id")))
     scored = stage(rows.select("doc_id", "row", "lang", key_of("lang").alias("key")).join(scored, "row"), "perplexities")
     at = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
-    groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.coalesce(at(F.when(F.col("trusted"), F.col("perplexity"))), at(F.col("perplexity"))).alias("q"))
+    cost = F.when(F.col("held"), F.col("perplexity"))
+    normal = F.exp(F.avg(F.log(cost)) + F.lit(NormalDist().inv_cdf(quantile)) * F.stddev_samp(F.log(cost)))
+    held = F.when(F.count(cost) >= LEAST_HELD, at(cost)).when(F.count(cost) > 1, normal)
+    everywhere = scored.agg(held.alias("q")).first().q
+    own = F.when(F.max("trusted"), F.coalesce(held, F.lit(everywhere).cast("double")))
+    groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.coalesce(own, at(F.col("perplexity"))).alias("q"))
     out = attach_groups(scored, groups, "key", "members", F.col("row")).withColumn("threshold", F.col("q") * slack)
     return out.select("doc_id", "row", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), (F.col("perplexity") <= F.col("threshold")).alias("kept"))
