@@ -436,6 +436,23 @@ def test_quality_model_word_order(spark):
     assert all(got[200 + i].perplexity > 3 * got[100 + i].perplexity for i in range(20))
 
 
+def test_quality_threshold_is_the_quantile(spark):
+    """The threshold is the quantile of held-out trusted rows, without a factor."""
+    from pyspark.sql import functions as F
+
+    from waybill.llm.quality_lm import QUANTILE, classify, perplexities
+
+    df = spark.createDataFrame([(i, prose(i, 30), "en") for i in range(800)], "doc_id long, text string, lang string").coalesce(1)
+    ids = spark.range(700).toDF("doc_id")
+    scored = perplexities(df.withColumn("row", F.col("doc_id")), ids).collect()
+    held = sorted(x.perplexity for x in scored if x.held)
+    assert 100 <= len(held) < 200 and all(x.trusted for x in scored if x.held)
+    got = classify(df, ids).collect()
+    (threshold,) = {x.threshold for x in got}
+    assert np.quantile(held, QUANTILE - 0.01) <= threshold <= held[-1] + 1e-6
+    assert sum(x.kept for x in got if x.doc_id >= 700) >= 90
+
+
 def test_word_model_sums_to_one():
     from waybill.llm import quality_lm as q
 

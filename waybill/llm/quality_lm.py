@@ -34,11 +34,11 @@ CHUNK_BITS = 13
 LEAST_SHARDS = 32
 #: Raw bytes of text in a blob, and in one go of counting.
 BLOB_BYTES, GO_BYTES = 4 << 20, 1 << 20
-#: A document stays while its perplexity is at most SLACK times this quantile of its language's trusted text.
-QUANTILE, SLACK = 0.99, 1.5
+#: A document stays while its perplexity is at most this quantile of its language's trusted text.
+QUANTILE = 0.99
 #: One trusted text in so many is held out of the counts, to see what good text costs that they don't hold.
 FOLDS = 5
-#: A language with fewer held-out rows takes the quantile of a log-normal with their moments.
+#: A language with fewer held-out rows takes the bound under which a new row of a log-normal like theirs stays with that chance.
 LEAST_HELD = 100
 _START, _END = b"\x01" * (ORDER - 1), b"\x02"
 
@@ -330,12 +330,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return scores.join(known.withColumn("trusted", F.lit(True)), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Perplexity and verdict for each row of ``docs`` (doc_id, text, lang).
 
-    A row's threshold is ``slack`` times the quantile of the trusted rows'
-    perplexities in its language; a language without trusted rows takes all its
-    rows.  Returns doc_id, row, lang, perplexity, threshold, kept.  An empty or
+    A row's threshold is the quantile of the held-out trusted rows'
+    perplexities in its language, or in all languages where its own has fewer
+    than two; a language without trusted rows takes all its rows.  Returns doc_id, row, lang, perplexity, threshold, kept.  An empty or
     null text is judged by its end alone; a null lang is a language of its own;
     a null doc_id is never trusted; repeated rows count each.  Without trusted
     rows every word is equally likely.  Without rows the result is empty.  Other
@@ -347,10 +347,13 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     scored = stage(rows.select("doc_id", "row", "lang", key_of("lang").alias("key")).join(scored, "row"), "perplexities")
     at = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
     cost = F.when(F.col("held"), F.col("perplexity"))
-    normal = F.exp(F.avg(F.log(cost)) + F.lit(NormalDist().inv_cdf(quantile)) * F.stddev_samp(F.log(cost)))
+    # Student's t by its expansion, since so few rows know mean and deviation only roughly.
+    z, free = NormalDist().inv_cdf(quantile), F.greatest(F.count(cost) - 1, F.lit(1)).cast("double")
+    t = F.lit(z) + F.lit((z**3 + z) / 4) / free + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (free * free)
+    normal = F.exp(F.avg(F.log(cost)) + t * F.sqrt(1 + 1 / (free + 1)) * F.stddev_samp(F.log(cost)))
     held = F.when(F.count(cost) >= LEAST_HELD, at(cost)).when(F.count(cost) > 1, normal)
     everywhere = scored.agg(held.alias("q")).first().q
     own = F.when(F.max("trusted"), F.coalesce(held, F.lit(everywhere).cast("double")))
     groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.coalesce(own, at(F.col("perplexity"))).alias("q"))
-    out = attach_groups(scored, groups, "key", "members", F.col("row")).withColumn("threshold", F.col("q") * slack)
+    out = attach_groups(scored, groups, "key", "members", F.col("row")).withColumnRenamed("q", "threshold")
     return out.select("doc_id", "row", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), (F.col("perplexity") <= F.col("threshold")).alias("kept"))
