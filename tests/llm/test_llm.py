@@ -368,6 +368,27 @@ def test_substring_dedup(spark, docs, nothing):
         assert out + text[at:] == got[d].text
 
 
+def test_substring_dedup_whole_lines(spark):
+    """Short lines that repeat as a whole go, also of several sentences; parts of lines and tiny lines stay."""
+    from waybill.llm.substring_dedup import substring_dedup
+
+    rows = [
+        (1, "Read more about this.\nOwn text one. Click here.\nThe end."),
+        (2, "Other text two.\nread  more about THIS.\nOwn text one. Click here.\nThe end."),
+        (3, "Third é text. Read more about this. Goes on.\nClick here. Own text one."),
+        (4, "All rights reserved here\nA b c\nAll rights reserved here\nEnd"),
+    ]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    assert got[2].text == "Other text two.\nThe end." and got[2].removed_words == 9
+    assert got[4].text == "All rights reserved here\nA b c\nEnd"
+    for d, text in rows:
+        at, out = 0, ""
+        for x in got[d].removed:
+            out, at = out + text[at : x.start], x.end
+        assert out + text[at:] == got[d].text
+
+
 def test_language_id(spark, docs, nothing):
     from waybill.llm.language_id import address_parts, identify_documents, identify_pages
 

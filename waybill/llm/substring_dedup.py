@@ -14,6 +14,11 @@ from waybill.llm.textscan import Scan, _powers_for, mix64, scans
 
 #: A run of repeated units goes if it has so many words.
 MIN_WORDS = 20
+#: A line that stands as a whole earlier goes if it has so many words; shorter ones are headings and the like.
+LINE_WORDS = 3
+#: Lines are numbered from here among a document's units.
+_LINES = 1 << 30
+_LINE_SALT = np.uint64(0xA0761D6478BD642F)
 _CLOSERS = np.zeros(256, dtype=bool)
 _CLOSERS[list(b".!?")] = True
 
@@ -23,7 +28,9 @@ class Units:
 
     ``word`` holds each unit's first word and ``first`` each document's first
     unit; ``digest`` is a 64-bit hash of the unit's folded words in turn, so
-    that case of A-Z and white space do not count.
+    that case of A-Z and white space do not count.  ``line`` holds each line's
+    first unit, ``line_first`` each document's first line, ``line_words`` and
+    ``line_digest`` a line's words and their hash, unlike any unit's.
     """
 
     def __init__(self, scan: Scan):
@@ -31,20 +38,31 @@ class Units:
         lines = np.concatenate([[0], np.cumsum(scan.data == 0x0A)])
         ends = np.zeros(n, dtype=bool)
         if n:
-            ends[:-1] = (lines[scan.start[1:]] > lines[scan.end[:-1]]) | _CLOSERS[scan.data[scan.end[:-1] - 1]]
+            breaks = np.zeros(n, dtype=bool)
+            breaks[:-1] = lines[scan.start[1:]] > lines[scan.end[:-1]]
+            ends[:-1] = breaks[:-1] | _CLOSERS[scan.data[scan.end[:-1] - 1]]
             last = scan.first[1:][np.diff(scan.first) > 0] - 1
-            ends[last] = True
+            ends[last] = breaks[last] = True
         self.word = np.concatenate([[0], np.flatnonzero(ends) + 1])[: int(ends.sum())]
         self.after = np.flatnonzero(ends) + 1
         up, down = _powers_for(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(scan.word_hashes() * up[:n], out=total[1:])
-        self.digest = mix64((total[self.after] - total[self.word]) * down[self.word] + (self.after - self.word).astype(np.uint64))
+
+        def digest(word, after):
+            return mix64((total[after] - total[word]) * down[word] + (after - word).astype(np.uint64))
+
+        self.digest = digest(self.word, self.after)
         self.first = np.searchsorted(self.word, scan.first)
+        after = np.flatnonzero(breaks) + 1 if n else self.after
+        word = np.concatenate([[0], after])[: len(after)]
+        self.line, self.line_words = np.searchsorted(self.word, word), after - word
+        self.line_digest = mix64(digest(word, after) ^ _LINE_SALT)
+        self.line_first = np.searchsorted(word, scan.first)
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, row, text) to units.
+def _unit_batches(batches: Iterator[pa.RecordBatch], line_words: int = LINE_WORDS) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, row, text) to units and, numbered from _LINES on, lines of at least ``line_words`` words.
 
     Of equal units in a batch only the earliest goes on to meet those of other
     batches (digest set); the others are known to be repeats (digest null).
@@ -60,6 +78,11 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             digests.append(u.digest)
             docs.append(owner + first_row)
             units.append(np.arange(len(u.digest)) - u.first[owner])
+            owner = np.repeat(np.arange(scan.n_docs), np.diff(u.line_first))
+            long = u.line_words >= line_words
+            digests.append(u.line_digest[long])
+            docs.append((owner + first_row)[long])
+            units.append((_LINES + np.arange(len(owner)) - u.line_first[owner])[long])
         if not digests:
             continue
         digest, doc, unit = np.concatenate(digests), np.concatenate(docs), np.concatenate(units)
@@ -91,11 +114,20 @@ _CLEAN_SCHEMA = "doc_id long, row long, text string, removed array<struct<start:
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_words", pa.int64()), ("removed_words", pa.int64())])
 
 
-def runs_of(repeated: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Maximal runs of repeated units with at least ``min_words`` words, as unit ranges."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
+def runs_of(repeated: np.ndarray, words: np.ndarray, lines: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """What goes, as maximal unit ranges: runs of repeated units with at least ``min_words`` words, and ``lines``."""
     total = np.concatenate([[0], np.cumsum(words)])
-    return [(a, b) for a, b in edge.reshape(-1, 2).tolist() if total[b] - total[a] >= min_words]
+    gone = np.zeros(len(repeated), dtype=bool)
+    for a, b in _ranges(repeated):
+        gone[a:b] = total[b] - total[a] >= min_words
+    for a, b in lines:
+        gone[a:b] = True
+    return _ranges(gone)
+
+
+def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return [(a, b) for a, b in edge.reshape(-1, 2).tolist()]
 
 
 def _clean_batches(min_words: int):
@@ -114,12 +146,16 @@ def _clean_batches(min_words: int):
                     if marked:
                         u = u or Units(scan)
                         a, b = int(u.first[i]), int(u.first[i + 1])
+                        marks = np.array(marked, dtype=np.int64)
                         repeated = np.zeros(b - a, dtype=bool)
-                        repeated[marked] = True
+                        repeated[marks[marks < _LINES]] = True
+                        line = u.line[u.line_first[i] : u.line_first[i + 1]] - a
+                        line_end = np.append(line[1:], b - a)
+                        lines = [(int(line[k]), int(line_end[k])) for k in marks[marks >= _LINES] - _LINES]
                         words = u.after[a:b] - u.word[a:b]
                         raw, origin = (text or "").encode(), int(scan.origin[i])
                         pieces, at, at_char = [], 0, 0
-                        for x, y in runs_of(repeated, words, min_words):
+                        for x, y in runs_of(repeated, words, lines, min_words):
                             start = int(scan.start[u.word[a + x]]) - origin
                             end = int(scan.start[u.word[a + y]]) - origin if a + y < b else int(scan.end[u.after[a + y - 1] - 1]) - origin
                             kept = raw[at:start].decode()
@@ -139,13 +175,14 @@ def _clean_batches(min_words: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """Remove passages of ``docs`` (doc_id, text) that stand earlier in the corpus.
 
     Units (see ``Units``) are ranked by doc_id, row and place; the first of each
     digest stays and the others are repeats.  A maximal run of repeats in a
-    document goes if it has at least ``min_words`` words, so that short stock
-    phrases in clean text stay.  Returns one row per row of ``docs``: doc_id,
+    document goes if it has at least ``min_words`` words, so that stock phrases
+    inside lines stay.  Lines are ranked alike, and those that stand earlier as a
+    whole go if they have at least ``line_words`` words.  Returns one row per row of ``docs``: doc_id,
     row, text (cleaned), removed (spans of the original text in characters, with
     the white space up to the next unit), n_words and removed_words of the
     original.  A document that only repeats others becomes empty.  Null text
@@ -154,7 +191,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     row = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text"))
-    units = stage(rows.mapInArrow(_unit_batches, "digest long, doc_id long, row long, unit int"), "units")
+    units = stage(rows.mapInArrow(lambda batches: _unit_batches(batches, line_words), "digest long, doc_id long, row long, unit int"), "units")
     n = partitions(docs.sparkSession)
     order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("unit")]
     later = units.where("digest is not null").repartition(n, "digest").sortWithinPartitions(*order).mapInArrow(_later_batches, "row long, unit int")
