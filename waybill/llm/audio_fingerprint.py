@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, row_key, stage
+from waybill.llm.common import attach_groups, numbered, stage
 
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES = 12
@@ -47,21 +47,65 @@ def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
-def samples_of(media: bytes | None) -> np.ndarray:
-    """Mono samples of a 16-bit PCM WAV file; nothing for null, empty or other media."""
-    if not media or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        return np.zeros(0)
-    at, channels, bits = 12, 1, 16
+def read_wav(media: bytes | None) -> tuple[np.ndarray, str | None]:
+    """Mono samples at RATE of a 16-bit PCM WAV file, and what is wrong with media that isn't one."""
+    none = np.zeros(0, dtype=np.float32)
+    if not media:
+        return none, "no media"
+    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+        return none, "no WAV file"
+    at, layout = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack("<I", media[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            channels, bits = struct.unpack("<H", media[at + 10 : at + 12])[0], struct.unpack("<H", media[at + 22 : at + 24])[0]
-        elif name == b"data" and bits == 16:
-            body = media[at + 8 : at + 8 + size]
-            pcm = np.frombuffer(body[: len(body) // (2 * channels) * 2 * channels], dtype="<i2")
-            return pcm.reshape(-1, channels).mean(axis=1) / 32768.0
+        if name == b"fmt " and at + 24 <= len(media):
+            layout = struct.unpack("<HHIIHH", media[at + 8 : at + 24])
+        elif name == b"data":
+            if layout is None:
+                return none, "no format ahead of the data"
+            kind, channels, rate, _, _, bits = layout
+            # 0xFFFE leaves the kind to an extension, of which PCM is the usual one.
+            if kind not in (1, 0xFFFE) or bits != 16 or not channels or not rate:
+                return none, f"format {kind} with {bits} bits, {channels} channels, {rate} Hz"
+            pcm = np.frombuffer(media, dtype="<i2", offset=at + 8, count=min(size, len(media) - at - 8) // (2 * channels) * channels)
+            return resampled(pcm.reshape(-1, channels), rate), None
         at += 8 + size + (size & 1)
-    return np.zeros(0)
+    return none, "no data"
+
+
+def samples_of(media: bytes | None) -> np.ndarray:
+    return read_wav(media)[0]
+
+
+#: Samples that are read, filtered or transformed in one go.
+_BLOCK = 1 << 18
+
+
+def resampled(pcm: np.ndarray, rate: int) -> np.ndarray:
+    """16-bit samples (one column a channel) as mono at RATE, block by block.
+
+    Above RATE a windowed sinc first takes away what RATE can't hold; then
+    samples are interpolated linearly.
+    """
+    n = len(pcm)
+    if rate == RATE:
+        return np.concatenate([np.zeros(0, dtype=np.float32), *[(pcm[i : i + _BLOCK].mean(axis=1) / 32768.0).astype(np.float32) for i in range(0, n, _BLOCK)]])
+    taps = np.ones(1)
+    if rate > RATE:
+        half = 16 * -(-rate // RATE)
+        t = np.arange(-half, half + 1)
+        taps = np.sinc(t * 0.9 * RATE / rate) * np.hanning(len(t) + 2)[1:-1]
+        taps /= taps.sum()
+    half, out = len(taps) // 2, [np.zeros(0, dtype=np.float32)]
+    step = max(1, _BLOCK * RATE // rate)
+    total = max(0, (n - 1) * RATE // rate + 1) if n else 0
+    for first in range(0, total, step):
+        at = np.arange(first, min(first + step, total)) * (rate / RATE)
+        lo, hi = max(0, int(at[0]) - half), min(n, int(at[-1]) + half + 2)
+        mono = pcm[lo:hi].mean(axis=1) / 32768.0
+        size = 1 << (len(mono) + len(taps)).bit_length()
+        smooth = np.fft.irfft(np.fft.rfft(mono, size) * np.fft.rfft(taps, size), size)[half : half + len(mono)] if rate > RATE else mono
+        out.append(np.interp(at, np.arange(lo, hi), smooth).astype(np.float32))
+    return np.concatenate(out)
 
 
 def _pitch_class_of_bins() -> np.ndarray:
@@ -82,9 +126,11 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     if len(samples) < FRAME:
         return np.zeros((0, CLASSES))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2
-    energy = power @ _FOLD
-    return energy / np.maximum(np.sqrt((energy**2).sum(axis=1, keepdims=True)), 1e-9)
+    step, out = _BLOCK // FRAME, []
+    for at in range(0, len(frames), step):
+        energy = np.abs(np.fft.rfft(frames[at : at + step] * _WINDOW, axis=1)) ** 2 @ _FOLD
+        out.append(energy / np.maximum(np.sqrt((energy**2).sum(axis=1, keepdims=True)), 1e-9))
+    return np.concatenate(out)
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -125,10 +171,10 @@ def codes(frames: np.ndarray) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray, share: float = 0.0) -> tuple[int, float, int] | None:
     """Where ``b`` starts in ``a``, the share of wrong bits and the frames in common.
 
-    Equal lookup keys, silence apart, vote for an offset; of the five offsets
-    with most votes (ties by offset) the one with fewest wrong bits wins.
-    Without a vote, or LEAST_FRAMES and ``share`` of ``b`` in common, there is
-    none.
+    Equal lookup keys, silence apart, vote for an offset; of all offsets with a
+    vote, and with LEAST_FRAMES and ``share`` of ``b`` in common, the one with
+    the least share of wrong bits wins, then the longer overlap, then the lesser
+    offset.
     """
     if not len(a) or not len(b):
         return None
@@ -138,30 +184,40 @@ def align(a: np.ndarray, b: np.ndarray, share: float = 0.0) -> tuple[int, float,
     votes = np.zeros(len(a) + len(b), dtype=np.int64)
     for j in np.flatnonzero((hi > lo) & (b != SILENCE)).tolist():
         votes[order[lo[j] : hi[j]] - j + len(b)] += 1
+    offsets = np.flatnonzero(votes) - len(b)
+    common = np.minimum(len(a), offsets + len(b)) - np.maximum(0, offsets)
+    offsets = offsets[common >= max(min(LEAST_FRAMES, len(b)), share * len(b))]
     best = None
-    for slot in np.argsort(-votes, kind="stable")[:5].tolist():
-        offset = slot - len(b)
-        start, end = max(0, offset), min(len(a), offset + len(b))
-        if not votes[slot] or end - start < max(min(LEAST_FRAMES, len(b)), share * len(b)):
-            continue
-        wrong = np.bitwise_count(a[start:end] ^ b[start - offset : end - offset]).sum()
-        found = (float(wrong) / (32 * (end - start)), -(end - start), offset)
+    within, step = np.arange(len(b)), max(1, _BLOCK // len(b))
+    for at in range(0, len(offsets), step):
+        offset = offsets[at : at + step]
+        place = offset[:, None] + within
+        inside = (place >= 0) & (place < len(a))
+        wrong = np.where(inside, np.bitwise_count(a[np.clip(place, 0, len(a) - 1)] ^ b), 0).sum(axis=1, dtype=np.int64)
+        n = inside.sum(axis=1)
+        k = np.lexsort((offset, -n, wrong / n))[0]
+        found = (float(wrong[k]) / (32 * int(n[k])), -int(n[k]), int(offset[k]))
         best = found if best is None or found < best else best
     return None if best is None else (best[2], best[0], -best[1])
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [codes(chroma(samples_of(m.as_py()))).astype(np.int64).tolist() for m in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "row", "codes"])
+        found, problems = [], []
+        for media in batch.column(2):
+            samples, problem = read_wav(media.as_py())
+            found.append(codes(chroma(samples)).astype(np.int64).tolist())
+            problems.append(problem or (None if found[-1] else "too short"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(problems, pa.string())], ["id", "row", "codes", "problem"])
 
 
 def fingerprint(recordings: DataFrame) -> DataFrame:
-    """(id, row, codes) for each row of ``recordings`` (id, row, media).
+    """(id, row, codes, problem) for each row of ``recordings`` (id, row, media).
 
-    Null, empty, short or unreadable media has no codes.
+    Null, empty, short or unreadable media has no codes, and ``problem`` says
+    why; media of any sample rate is resampled to RATE.
     """
-    return recordings.select("id", "row", "media").mapInArrow(_fingerprint_batches, "id long, row long, codes array<long>")
+    return recordings.select("id", "row", "media").mapInArrow(_fingerprint_batches, "id long, row long, codes array<long>, problem string")
 
 
 def _align_batches(share: float):
@@ -197,16 +253,27 @@ def _keys(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("row", F.explode(F.array_compact(F.array_distinct(keys))).alias("key"))
 
 
+def _single_keys(rows: DataFrame, name: str) -> DataFrame:
+    """(row, key) with the signs of each code that isn't silent, apart from all keys of two codes."""
+    keys = F.transform(name, lambda a: F.when(a != SILENCE, a.bitwiseAND(F.lit(SIGNS)).bitwiseOR(F.lit(1 << 40))))
+    return rows.select("row", F.explode(F.array_compact(F.array_distinct(keys))).alias("key"))
+
+
 def search(recordings: DataFrame, queries: DataFrame) -> DataFrame:
     """Align each of ``queries`` (row, other) with each of ``recordings`` (row, codes) that shares an index key.
 
     Returns row (the query's), found_row, offset, bit_errors and overlap for the
     pairs with at most MOST_ERRORS wrong bits over SEARCH_SHARE of the query.
     The index proposes every recording that shares a key, however many those
-    are.  A query of silence, or of LEAST_FRAMES codes or fewer, finds nothing.
+    are.  A query of LEAST_FRAMES codes or fewer has no key of two codes; such
+    queries are looked up by single codes.  A query of silence finds nothing.
     """
-    salted = _keys(queries, "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    index = _keys(recordings, "codes").select(F.col("row").alias("found_row"), "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    asked, index = _keys(queries, "other"), _keys(recordings, "codes")
+    short = queries.where(F.size("other").between(1, LEAST_FRAMES))
+    if short.limit(1).count():
+        asked, index = asked.union(_single_keys(short, "other")), index.union(_single_keys(recordings, "codes"))
+    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    index = index.select(F.col("row").alias("found_row"), "key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     pairs = index.join(salted, ["key", "salt"]).select("row", "found_row").distinct()
     pairs = pairs.join(recordings.select(F.col("row").alias("found_row"), "codes"), "found_row").join(queries, "row")
     aligned = align_pairs(pairs.select(F.col("found_row").alias("id"), "row", "codes", "other"), SEARCH_SHARE)
@@ -251,10 +318,10 @@ def _digest(values: list) -> bytes | None:
     return hashlib.sha256(np.array(values, dtype="<i8").tobytes()).digest() if values else None
 
 
-def recordings_of(vectors: DataFrame) -> DataFrame:
+def recordings_of(vectors: DataFrame, key: str | None = None) -> DataFrame:
     """(id, row, media, cut, start): a rendered recording of each row of ``vectors`` (id, vector), and an excerpt."""
-    rows = vectors.select(F.col("id").cast("long").alias("id"), row_key(vectors), F.col("vector").cast("array<float>").alias("vector"))
-    return rows.mapInArrow(_render_batches, "id long, row long, media binary, cut binary, start long")
+    rows = numbered(vectors, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"), key=key)
+    return rows.select("id", "row", "vector").mapInArrow(_render_batches, "id long, row long, media binary, cut binary, start long")
 
 
 def find_excerpts(recordings: DataFrame) -> DataFrame:
@@ -262,7 +329,7 @@ def find_excerpts(recordings: DataFrame) -> DataFrame:
 
     ``recordings`` has id, row, media, cut, start; the queries are the rows whose
     id is a multiple of QUERY_STEP.  Returns two kinds of rows.  One ``recording`` a row:
-    id, row, n_codes, class_id (the least id with the same codes, its own if it
+    id, row, n_codes, problem (see ``fingerprint``), class_id (the least id with the same codes, its own if it
     has none), class_size, start_frame, found_frame, bit_errors and matched:
     whether the offset was found within one frame and the errors are at most
     MOST_ERRORS.  One ``match`` a query and class that ``search`` finds: id and
@@ -274,16 +341,14 @@ def find_excerpts(recordings: DataFrame) -> DataFrame:
 
     def both(batches):
         for batch in batches:
-            columns = []
-            for k in (2, 3):
-                columns.append([codes(chroma(samples_of(m.as_py()))).astype(np.int64).tolist() for m in batch.column(k)])
-            digests = pa.array([_digest(c) for c in columns[0]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), *[pa.array(c, pa.list_(pa.int64())) for c in columns], digests], ["id", "row", "start", "codes", "other", "digest"])
+            heard = [next(_fingerprint_batches(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(k)], ["id", "row", "media"])]))) for k in (2, 3)]
+            digests = pa.array([_digest(c) for c in heard[0].column("codes").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), *[h.column("codes") for h in heard], digests, heard[0].column("problem")], ["id", "row", "start", "codes", "other", "digest", "problem"])
 
-    found = recordings.select("id", "row", "media", "cut", "start").mapInArrow(both, "id long, row long, start long, codes array<long>, other array<long>, digest binary")
+    found = recordings.select("id", "row", "media", "cut", "start").mapInArrow(both, "id long, row long, start long, codes array<long>, other array<long>, digest binary, problem string")
     found = stage(found, "codes")
     aligned = align_pairs(found)
-    names = found.select("id", "row", "start", F.size("codes").alias("n_codes"), F.coalesce(F.hex("digest"), F.concat(F.lit("none"), F.col("row").cast("string"))).alias("key"))
+    names = found.select("id", "row", "start", "problem", F.size("codes").alias("n_codes"), F.coalesce(F.hex("digest"), F.concat(F.lit("none"), F.col("row").cast("string"))).alias("key"))
     groups = names.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"), F.max("n_codes").alias("codes"), F.count(F.lit(1)).alias("class_size"))
     groups = stage(groups.select("key", F.col("least.id").alias("class_id"), F.col("least.row").alias("class_row"), "class_size", "codes"), "classes")
     frame = F.col("start") / HOP
@@ -291,11 +356,11 @@ def find_excerpts(recordings: DataFrame) -> DataFrame:
 
     out = attach_groups(names.join(aligned.drop("id"), "row"), groups.select("key", "class_id", "class_size"), "key", "class_size", F.col("row"))
     matched = (F.abs(F.col("offset") - frame) <= 1) & (F.col("bit_errors") <= MOST_ERRORS)
-    out = out.select("id", "row", F.lit("recording").alias("kind"), "n_codes", "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.coalesce(matched, F.lit(False)).alias("matched"))
+    out = out.select("id", "row", F.lit("recording").alias("kind"), "n_codes", "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.coalesce(matched, F.lit(False)).alias("matched"), "problem")
 
     classes = groups.where("codes > 0").select(F.col("class_row").alias("found_row"), "class_id", "class_size")
     asked = found.where(F.col("id") % QUERY_STEP == 0)
     firsts = found.select(F.col("row").alias("found_row"), "codes").join(classes.select("found_row"), "found_row", "left_semi").withColumnRenamed("found_row", "row")
     hits = search(firsts, asked.select("row", "other")).join(classes, "found_row").join(asked.select("row", "id", "start"), "row")
-    hits = hits.select("id", "row", F.lit("match").alias("kind"), F.lit(None).cast("int").alias("n_codes"), "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.lit(None).cast("boolean").alias("matched"))
+    hits = hits.select("id", "row", F.lit("match").alias("kind"), F.lit(None).cast("int").alias("n_codes"), "class_id", "class_size", start_frame, F.col("offset").alias("found_frame"), errors, "overlap", F.lit(None).cast("boolean").alias("matched"), F.lit(None).cast("string").alias("problem"))
     return out.unionByName(hits)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/waybill-{uuid.uuid4().hex}/{name}"
+    """A fresh path under the shared folder; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/waybill-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_clear, spark)
+    _FOLDERS.add(path)
+    return f"{path}/{name}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _FOLDERS.discard(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    """Delete all folders of this driver, if its session still runs."""
+    if spark.sparkContext._jsc is not None:
+        for path in list(_FOLDERS):
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -51,29 +74,75 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for df in frames:
+        _delete(df.sparkSession, df._staged.rsplit("/", 1)[0])
+
+
+def distilled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, staged; all that it staged on the way is deleted."""
+    before = set(_FOLDERS)
+    out = stage(make(), name)
+    for path in _FOLDERS - before - {out._staged.rsplit("/", 1)[0]}:
+        _delete(spark, path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def place(docs: DataFrame) -> Column:
-    """Each row's place in ``docs``, a table read from files.
+#: Rows that a file of a table may have when its rows are numbered by their places.
+_FILE_ROWS_BITS = 26
 
-    Operators read their input more than once and every reading must number it
-    alike.  Spark cuts files by the number of live cores, which falls when
-    executors are lost, unless a session fixes it; so it is fixed here.
-    """
-    conf, name = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
-    if not conf.get(name, None):
-        conf.set(name, conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(docs.sparkSession.sparkContext.defaultParallelism))
-    return F.monotonically_increasing_id().alias("row")
 
+def _place(docs: DataFrame) -> Column | None:
+    """Each row's place in the Parquet files that ``docs`` is a plain scan of; None if it is something else.
 
-def row_key(docs: DataFrame) -> Column:
-    """The caller's key of a row where ``docs`` has ``row``, else its place."""
-    return F.col("row") if "row" in docs.columns else place(docs)
+    The place is the row's index in its file, with a hash of the file's path in
+    the upper bits.  It doesn't depend on how a reading is cut into tasks, nor on
+    the columns read.  Hashes are drawn anew until all files differ.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        if not plan.deterministic():
+            return None
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or plan.relation().toString() != "parquet" or "_metadata" in docs.columns:
+        return None
+    files = docs.inputFiles()
+    index, path = (F.col(f"_metadata.{x}") for x in ("row_index", "file_path"))
+    if len(files) == 1:
+        return index
+    # As _metadata writes them.
+    named = docs.sparkSession.createDataFrame([(f.replace("file:///", "file:/", 1),) for f in files], "path string")
+    for seed in range(16):
+        base = lambda c: F.shiftleft(F.shiftright(F.xxhash64(F.lit(seed), c), _FILE_ROWS_BITS), _FILE_ROWS_BITS)  # noqa: E731, B023
+        if named.select(base(F.col("path"))).distinct().count() == len(files):
+            return F.when(index < 1 << _FILE_ROWS_BITS, base(path).bitwiseOR(index)).otherwise(F.raise_error(F.lit("a file has too many rows to be numbered; give a key")))
+    return None
+
+
+def numbered(docs: DataFrame, *columns: Column | str, key: str | None = None) -> DataFrame:
+    """``columns`` of ``docs`` with ``row``: a long of its own for each row, the same at every reading.
+
+    Operators read their input more than once.  ``row`` is the caller's ``key``
+    where one is named, or the row's place where ``docs`` is a plain scan of
+    Parquet files.  Anything else might deal its rows anew at each reading, so it
+    is written once and read from there.
+    """
+    if key is not None:
+        return docs.select(F.col(key).cast("long").alias("row"), *columns)
+    place = _place(docs)
+    if place is not None:
+        return docs.select(place.alias("row"), *columns)
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import stage
+from waybill.llm.common import forget, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,15 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         least = stage(least, "labels")
+        forget(labels)
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stage(least.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
-            return labels
+        labels = stage(least.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        forget(least)
+        if not labels.where("label <> old").limit(1).count():
+            forget(both)
+            out = labels.select("node", "label")
+            out._staged = labels._staged
+            return out
 
 
 class Forest:

@@ -39,23 +39,23 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weights=cycled_weights
     return t.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, seed: str = SEED, weights=cycled_weights, key: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = 3, seed: str = SEED, weights=cycled_weights, key: str | None = None) -> DataFrame:
     """How often the mixture takes each row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, row, size, source_size, target, times, taken.  Every row is
     taken floor(target / source_size) times; the remaining fraction of a source
     is a prefix of its rows in seeded order: a row is in it when its middle
     word is, so a source misses its target by at most half of one document.
-    ``row`` passes through where ``docs`` has it.  Null and blank texts have
+    ``row`` is the caller's ``key``, if one is named.  Null and blank texts have
     size 0 and count as in the prefix as any other; a null source is a source of
-    its own, after all others; rows with equal doc_id share their place in the
-    order up to size.  Without rows the result is empty.  Other columns are not
-    read.
+    its own, after all others; the order is drawn by doc_id (null: none) and
+    text, so that only repeated rows share a place in it.  Without rows the
+    result is empty.  Other columns are not read.
     """
-    keep = ["row"] if "row" in docs.columns else []
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
+    keep = ["row"] if key else []
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_or_empty())))
     size = F.regexp_count(text_or_empty(), F.lit(WORD_CLASS)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, key_of("source").alias("skey"), draw.alias("draw"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(key).cast("long").alias("row") for _ in keep], key_of("source").alias("skey"), draw.alias("draw"), size.alias("size"))
     rows = stage(rows.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)), "sizes")
     slices = rows.groupBy("skey", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("skey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, partitions, row_key, stage
+from waybill.llm.common import attach_groups, forget, numbered, partitions, stage
 from waybill.llm.components import Forest, components
 from waybill.llm.textscan import mix64, scans, shingle_hashes
 
@@ -41,8 +41,9 @@ GROUP_GRAMS = 6
 LEAF = 32
 #: Blocks of up to so many members give their pairs directly.
 SMALL = 4
-#: Members of a block, or of a part of a cluster, that one task holds at once.
+#: Members of a block, or of a part of a cluster, that one task holds at once, and the grams of such a part.
 HELD = 4096
+HELD_GRAMS = 8 << 20
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -383,10 +384,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _edges_of(forest, classes)
 
 
-def profile(docs: DataFrame) -> tuple[DataFrame, bytes]:
-    """Profiles of all rows (doc_id, row, n, cls, vec), and the sketch's levels."""
-    row = row_key(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text"))
+def profile(rows: DataFrame) -> tuple[DataFrame, bytes]:
+    """Profiles (doc_id, row, n, cls, vec) of ``rows`` (doc_id, row, text), and the sketch's levels."""
     seen = stage(rows.mapInArrow(_profile_batches, "doc_id long, row long, n long, cls long, vec binary, segment int"), "profiles")
     levels = seen.where("segment is not null").select("segment", "vec").groupBy("segment").applyInArrow(_levels, "segment int, level binary")
     by_segment = {r.segment: bytes(r.level) for r in levels.collect()}  # SEGMENTS rows, 1 << SKETCH_BITS bytes in all
@@ -394,19 +393,20 @@ def profile(docs: DataFrame) -> tuple[DataFrame, bytes]:
     return seen.where("segment is null").drop("segment"), b"".join(by_segment.get(s, empty) for s in range(SEGMENTS))
 
 
-def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFrame:
-    """(node, label): the classes that have links, with their component's smallest class."""
+def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes, most: int = HELD) -> DataFrame:
+    """(node, label): the classes that have links, with their component's smallest class.
+
+    ``docs`` (row, text) has the rows of ``profiles``; ``most`` stands for HELD.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
     held = spark.sparkContext.broadcast(levels)
     # One row a class: its first text stands for it.
     reps = stage(profiles.where("n > 0").groupBy("cls").agg(F.min(F.struct("row", "n", "vec")).alias("rep")).select("cls", "rep.row", "rep.n", "rep.vec"), "classes")
-    row = row_key(docs)
-    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    rows = docs.select("row", "text")
 
     rare = rows.mapInArrow(_block_batches(held), "gram long, cls long, n int")
     sorted_ = rare.repartition(n, "gram").sortWithinPartitions("gram", "n", "cls")
-    most = HELD
     shared = stage(sorted_.mapInArrow(lambda batches: _shared_batches(batches, most), "gram long, a long, b long, sure boolean"), "shared")
 
     points = reps.select("cls", "n", "vec")
@@ -418,12 +418,12 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFra
     sure = shared.where("sure").select("a", "b")
     clusters = components(in_blocks.union(in_pairs).union(sure)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
 
-    members = stage(clusters.join(reps.select("cls", "row", "n"), "cls"), "members")
+    joined = stage(clusters.join(reps.select("cls", "row", "n"), "cls"), "members")
     # Sizes of linked sets differ by a quarter at most: a member meets its own band and the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
-    members = members.withColumn("band", band)
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    bands = members.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) * 2 / HELD).cast("int").alias("parts"))
+    members = joined.withColumn("band", band)
+    sizes = members.groupBy("cluster").agg(((F.count(F.lit(1)) <= most) & (F.sum("n") <= HELD_GRAMS)).alias("whole"))
+    bands = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) * 2 / most, F.sum("n") * 2 / HELD_GRAMS)).cast("int").alias("parts"))
     following = bands.select("cluster", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
     before = bands.select("cluster", (F.col("band") + 1).alias("band"), F.col("parts").alias("last_parts"))
     bands = bands.join(following, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left").na.fill(0)
@@ -437,15 +437,17 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes) -> DataFra
     up = F.when(F.col("next_parts") > 0, F.transform(F.sequence(F.lit(0), F.col("next_parts") - 1), lambda q: name(b, p, b + 1, q))).otherwise(F.array().cast("array<string>"))
     down = F.when(F.col("last_parts") > 0, F.transform(F.sequence(F.lit(0), F.col("last_parts") - 1), lambda q: name(b - 1, q, b, p))).otherwise(F.array().cast("array<string>"))
     alone = F.array(F.concat(F.lit("c/"), F.col("cluster").cast("string")))
-    units = F.when(F.col("cluster_size") <= HELD, alone).otherwise(F.concat(same, up, down))
+    units = F.when(F.col("whole"), alone).otherwise(F.concat(same, up, down))
     dealt = dealt.select("row", "cls", "part", units.alias("units"))
     texts = rows.join(dealt.hint("shuffle_hash"), "row").select(F.explode("units").alias("unit"), "part", "cls", "text")
     grams = texts.mapInArrow(_gram_batches, "unit string, part int, cls long, grams binary")
     links = grams.repartition(n, "unit").sortWithinPartitions("unit", "cls").mapInArrow(_verify_batches, "a long, b long")
-    return components(links)
+    out = components(links)
+    forget(reps, shared, joined)
+    return out
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str | None = None, most: int = HELD) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, row, n_shingles, component_id, component_row.
 
     component_id is the smallest doc_id reachable by links, the row's own
@@ -454,13 +456,17 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     component_id is its own doc_id.  Repeated rows link with each other.  A null
     doc_id is never the smallest unless the whole component has none.  Grams and
     classes are told apart by 64-bit hashes.  Without rows the result is empty.
-    Columns other than these and ``row`` are not read.
+    ``row`` is the caller's ``key``, if one is named; other columns are not read.
+    ``most`` members of a block or of a part of a cluster are held at once; it
+    changes no result.
     """
-    profiles, levels = profile(docs)
-    labels = link_classes(docs, profiles, levels)
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key=key).select("doc_id", "row", "text")
+    profiles, levels = profile(rows)
+    labels = link_classes(rows, profiles, levels, most)
     classes = profiles.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     classes = stage(classes, "components")
+    forget(labels)
     groups = classes.groupBy("label").agg(F.min("least").alias("first"), F.sum("copies").alias("members"))
     groups = groups.select("label", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"), "members")
     by_class = stage(attach_groups(classes, groups, "label", "members", F.col("cls")).select("cls", "component_id", "component_row", "copies"), "class_components")

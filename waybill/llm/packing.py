@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import row_key, stage
+from waybill.llm.common import numbered, stage
 from waybill.llm.textscan import scans
 
 SEQUENCE = 4096
@@ -228,7 +228,7 @@ def _pack_group(sequence: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, key: str | None = None) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text) into sequences of ``sequence`` tokens.
 
     A document's ids, with ``end_id`` behind, are cut at multiples of
@@ -236,11 +236,11 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     ``group_pieces``, and each group is packed alone by first-fit decreasing.
     Returns one row a piece: doc_id, row, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.  A null or blank text is the end id alone; repeated
-    rows are packed each; ``row`` is the caller's key where ``docs`` has it.
+    rows are packed each; ``row`` is the caller's ``key``, if one is named.
     Without rows the result is empty.  Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs), F.col("text").cast("string").alias("text"))
-    pieces = stage(rows.mapInArrow(piece_batches(tokenizer_path, sequence, end_id), PIECE_SCHEMA), "pieces")
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key=key)
+    pieces = stage(rows.select("doc_id", "row", "text").mapInArrow(piece_batches(tokenizer_path, sequence, end_id), PIECE_SCHEMA), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInArrow(_pack_group(sequence), PIECE_SCHEMA + ", sequence_id long, offset long")

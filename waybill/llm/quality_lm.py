@@ -1,13 +1,19 @@
-"""Perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model's grams are three folded words, each hashed to WORD_BITS bits, so that
-it is open to any word.  Counts of trusted text are sharded by a gram's middle
-word: a shard then holds all that orders 3 and 2 of its grams need.  Order 1 has
-1 << WORD_BITS cells and is the only part of the model that is broadcast.  Text
-goes by chunks of rows: a chunk asks the shards for its distinct grams and
-scores its documents with the answers.  ``grams_of`` and ``low_orders`` are the
-same for bytes, with ``lower`` and ``Order`` at their default of 8 bits;
-``classify`` does not use them.
+"""Perplexity under an interpolated modified Kneser-Ney bigram model of words.
+
+Folded words are hashed to cells, so that the model is open to any word.  With
+c a bigram's count in trusted text and D its discount, the probability is
+
+    P(w | v) = (c - D) / total(v) + back(v) P1(w)
+             = back(v) P1(w) * (1 + (c - D) / (total(v) back(v) P1(w)))
+
+and P1 is made from continuation counts in the same way.  ``total``, ``back``
+and ``P1`` have 1 << WORD_BITS cells each, whatever the corpus, and are
+broadcast; counts of bigrams grow with the corpus and are sharded by a hash of
+the whole bigram, so that no frequent word makes a shard heavy.  A map task adds
+up log(back P1) of its documents by itself and asks the shards for the sum of
+the last factor's logarithm, the gain, which is 0 for bigrams that the model
+lacks.  Only hashes of bigrams with the numbers of their documents, and sums a
+document and shard, go through shuffles; texts never do.
 """
 
 from __future__ import annotations
@@ -17,189 +23,205 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, key_of, partitions, row_key, stage, text_or_empty
-from waybill.llm.textscan import scans
-
-#: Bytes in a gram of ``grams_of``.
-ORDER = 5
-#: log2 of the cells that words are hashed to; three make a gram of 60 bits.
-WORD_BITS = 20
-#: log2 of the rows in a chunk.
-CHUNK_BITS = 13
-#: The model has at least so many shards, and more where the session has more partitions.
-LEAST_SHARDS = 32
-#: Raw bytes of text in a blob, and in one go of counting.
-BLOB_BYTES, GO_BYTES = 4 << 20, 1 << 20
+from waybill.llm.common import attach_groups, key_of, numbered, partitions, stage, text_or_empty
+from waybill.llm.textscan import mix64, scans
+
+#: log2 of the cells that words are hashed to; a bigram has two.  Cells 0 and 1 stand for a text's start and end.
+WORD_BITS = 21
+#: Bytes of text and rows in a piece, the unit in which a task asks; one longer text is a piece by itself.
+PIECE_BYTES, DOC_BITS = 16 << 20, 15
+#: Bits of a bigram's hash beyond those that number the trusted words: one bigram in so many powers of two takes another's count.
+SPARE_BITS = 9
+#: Bytes of trusted text a shard stands for, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 32
+#: Rows of trusted text whose keys are broadcast (8 bytes each); beyond, texts are joined with them.
+MOST_MARKS = 4 << 20
+#: Parts in which the cells' counts are added up.
+SEGMENTS = 512
+#: Gains are sent as multiples of 1 / GAIN_STEPS.
+GAIN_STEPS = 64
 #: A document stays while its perplexity is at most this quantile of its language's trusted text.
 QUANTILE = 0.99
 #: One trusted text in so many is held out of the counts, to see what good text costs that they don't hold.
 FOLDS = 5
 #: A language with fewer held-out rows takes the bound under which a new row of a log-normal like theirs stays with that chance.
 LEAST_HELD = 100
-_START, _END = b"\x01" * (ORDER - 1), b"\x02"
+#: Perplexities are told apart by so much of their logarithms when quantiles are taken.
+BIN = 1e-4
+_CELLS, _BITS = 1 << WORD_BITS, np.uint64(WORD_BITS)
+_MASK = np.uint64(_CELLS - 1)
 
 
-def folded(text: str | None) -> bytes:
-    """Bytes of the text with A-Z folded, white space as single spaces and no control bytes of ours."""
-    raw = b" ".join((text or "").encode().lower().split())
-    return raw.replace(b"\x00", b" ").replace(b"\x01", b" ").replace(b"\x02", b" ")
-
-
-def grams_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every document's 5-grams, one for each byte and for its end, and whose they are."""
-    data = np.frombuffer(b"".join(_START + d + _END for d in docs), dtype=np.uint8).astype(np.uint64)
-    n = np.array([len(d) + ORDER for d in docs])
-    code = np.zeros(max(0, len(data) - ORDER + 1), dtype=np.uint64)
-    for j in range(ORDER):
-        code = (code << np.uint64(8)) | data[j : len(data) - ORDER + 1 + j]
-    owner = np.repeat(np.arange(len(docs)), n)
-    whole = owner[: len(code)] == owner[ORDER - 1 :]
-    return code[whole], owner[: len(code)][whole]
-
-
-def word_grams_of(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Every document's word trigrams, one for each word and for its end, and whose they are."""
+def bigrams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Every document's bigrams of cells, one for each word and for its end, and whose they are."""
     words, n = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for _, scan in scans(pa.array(docs, pa.binary()), fold=False):
-        # Cells 0 and 1 stand for the start and the end.
+    for _, scan in scans(texts, fold=True):
         words.append(np.maximum(scan.word_hashes() >> np.uint64(64 - WORD_BITS), np.uint64(2)))
         n.append(np.diff(scan.first))
     words, n = np.concatenate(words), np.concatenate(n)
-    owner = np.repeat(np.arange(len(docs)), n + 3)
-    line = np.zeros(len(owner), dtype=np.uint64)
-    line[np.arange(len(words)) + 3 * np.repeat(np.arange(len(docs)), n) + 2] = words
-    line[np.cumsum(n + 3) - 1] = 1
-    bits = np.uint64(WORD_BITS)
-    code = (line[:-2] << bits | line[1:-1]) << bits | line[2:]
-    whole = owner[:-2] == owner[2:]
-    return code[whole], owner[:-2][whole]
+    docs = np.arange(len(n))
+    line, owner = np.zeros(len(words) + 2 * len(n), dtype=np.uint64), np.repeat(docs, n + 2)
+    line[np.arange(len(words)) + 2 * np.repeat(docs, n) + 1] = words
+    line[np.cumsum(n + 2) - 1] = 1
+    whole = owner[:-1] == owner[1:]
+    return (line[:-1] << _BITS | line[1:])[whole], owner[:-1][whole]
 
 
-def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
-    """By the middle word; its cell is a hash already."""
-    return ((code >> np.uint64(WORD_BITS) & np.uint64((1 << WORD_BITS) - 1)) % np.uint64(shards)).astype(np.int64)
+def hash_bits(trusted_bytes: int) -> int:
+    """Bits of the hashes of bigrams, by the size of the trusted text."""
+    return min(48, max(1, trusted_bytes // 4).bit_length() + SPARE_BITS)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted grams as compressed differences."""
-    return zstandard.compress(np.diff(values, prepend=np.uint64(0)).astype("<u8").tobytes(), 3)
+def hashed(code: np.ndarray, bits: int) -> np.ndarray:
+    """The bigrams' hashes; in their order those of a shard stand together."""
+    return mix64(code) >> np.uint64(64 - bits)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(blob), dtype="<u8"), dtype=np.uint64)
+def shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    return (keys * np.uint64(shards) >> np.uint64(bits)).astype(np.int64)
 
 
-_BLOB = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), ("more", pa.binary()), ("rows", pa.list_(pa.int64()))])
-BLOB_SCHEMA = "chunk long, kind int, blob binary, more binary, rows array<long>"
+def _pack(*columns: np.ndarray) -> bytes:
+    """Integer arrays, each as planes of its bytes, compressed; upper planes of small numbers cost nothing."""
+    head = np.array([x for c in columns for x in (len(c), c.dtype.itemsize)], dtype="<u4")
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns]
+    return zstandard.compress(np.uint32(len(columns)).tobytes() + head.tobytes() + b"".join(planes), 1)
 
 
-def _blob_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (row, text) to compressed runs of documents of one chunk each."""
-    rows, docs, size = [], [], 0
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    k = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+    head, at, out = np.frombuffer(raw, dtype="<u4", count=2 * k, offset=4).astype(np.int64), 4 + 8 * k, []
+    for n, width in head.reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
+        at += n * width
+    return out
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array."""
+    return np.diff(values.astype(np.uint64), prepend=np.uint64(0))
 
-    def out():
-        blob = zstandard.compress(b"\x00".join(docs), 6)
-        return pa.RecordBatch.from_pydict({"chunk": [rows[0] >> CHUNK_BITS], "kind": [1], "blob": [blob], "more": [None], "rows": [rows]}, schema=_BLOB)
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """From (row, text) to the rows and texts of pieces."""
+    rows, texts, size, count = [], [], 0, 0
     for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if rows and (row >> CHUNK_BITS != rows[0] >> CHUNK_BITS or size > BLOB_BYTES):
-                yield out()
-                rows, docs, size = [], [], 0
-            doc = folded(text.as_py())
-            rows.append(row)
-            docs.append(doc)
-            size += len(doc)
+        bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < batch.num_rows:
+            # As many rows as still fit, at least one.
+            to = int(np.searchsorted(bytes_, bytes_[at] + max(0, PIECE_BYTES - size), side="right")) - 1
+            to = min(batch.num_rows, at + (1 << DOC_BITS) - count, max(to, at + (0 if count else 1)))
+            if to > at:
+                rows.append(batch.column(0).slice(at, to - at).to_numpy())
+                texts.append(batch.column(1).slice(at, to - at).cast(pa.large_string()))
+                size, count, at = size + int(bytes_[to] - bytes_[at]), count + to - at, to
+            if at < batch.num_rows or size >= PIECE_BYTES or count == 1 << DOC_BITS:
+                yield np.concatenate(rows), pa.concat_arrays(texts)
+                rows, texts, size, count = [], [], 0, 0
     if rows:
-        yield out()
+        yield np.concatenate(rows), pa.concat_arrays(texts)
+
+
+_MESSAGE = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("piece", pa.int64()), ("data", pa.binary())])
+MESSAGE_SCHEMA = "shard int, kind int, piece long, data binary"
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+
 
+def _count_batches(marks, bits: int, shards: int):
+    """From (row, text) to the counted bigrams of trusted texts (``marks``; None: all), a message a piece and shard."""
 
-def _goes(blob: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """The documents of a blob in parts of about GO_BYTES, with the number of the first."""
-    docs = zstandard.decompress(blob).split(b"\x00")
-    at, size, part = 0, 0, []
-    for i, doc in enumerate(docs):
-        part.append(doc)
-        size += len(doc)
-        if size > GO_BYTES or i + 1 == len(docs):
-            yield at, part
-            at, size, part = i + 1, 0, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if marks is None else np.frombuffer(marks.value, dtype="<i8")
+
+        def trusted():
+            for batch in batches:
+                if known is not None:
+                    rows = batch.column(0).to_numpy()
+                    at = np.minimum(np.searchsorted(known, rows), max(0, len(known) - 1))
+                    batch = batch.filter(pa.array(known[at] == rows)) if len(known) else batch.slice(0, 0)
+                yield batch
+
+        for rows, texts in _pieces(trusted()):
+            values, counts = np.unique(bigrams_of(texts)[0], return_counts=True)
+            shard = shard_of(hashed(values, bits), bits, shards)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            out = []
+            for s in range(shards):
+                own = order[cuts[s] : cuts[s + 1]]
+                if len(own):
+                    out.append((s, 0, int(rows[0]), _pack(_steps(values[own]), counts[own].astype("<u4"))))
+            if out:
+                yield _messages(out)
+
+    return run
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and counts of several lists as one."""
-    if not parts:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    """Bigrams and counts of several lists as one."""
     values, turn = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return values, np.bincount(turn, weights=np.concatenate([p[1] for p in parts]), minlength=len(values)).astype(np.int64)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """From sorted (chunk, kind, blob, more, rows) to each chunk's grams (kind 1) and those of its trusted text with counts (kind 2), by shard."""
-    schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-    chunk, trusted, parts = None, set(), []
+def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From messages sorted by shard to each shard's counts (piece -1), and what all cells need of them in SEGMENTS (shard -1).
+
+    A segment's numbers are, for each cell v: its count as the first word, the
+    bigrams it begins that occur once, twice and more often, and the bigrams it
+    ends; and, on the first segment alone, the bigrams that occur one to four times.
+    """
+    cells, often = np.zeros((5, _CELLS), dtype=np.int64), np.zeros(4, dtype=np.int64)
+    shard, parts, seen = None, [], False
 
     def out():
         values, counts = _merged(parts)
-        shard = shard_of(values, shards)
-        rows = []
-        for s in np.unique(shard).tolist():
-            own, n = values[shard == s], counts[shard == s]
-            rows.append({"shard": s, "kind": 1, "chunk": chunk, "grams": _pack(own), "counts": None})
-            if n.any():
-                rows.append({"shard": s, "kind": 2, "chunk": chunk, "grams": _pack(own[n > 0]), "counts": zstandard.compress(n[n > 0].astype("<i8").tobytes(), 3)})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        first, last = (values >> _BITS).astype(np.int64), (values & _MASK).astype(np.int64)
+        cells[0] += np.bincount(first, weights=counts, minlength=_CELLS).astype(np.int64)
+        for k, which in ((1, counts == 1), (2, counts == 2), (3, counts > 2)):
+            cells[k] += np.bincount(first[which], minlength=_CELLS)
+        cells[4] += np.bincount(last, minlength=_CELLS)
+        often[:] += counts_of_counts(counts)
+        return _messages([(shard, 0, -1, _pack(_steps(values), counts.astype("<u8")))])
 
     for batch in batches:
-        for c, kind, blob, _, rows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if c != chunk:
-                if parts:
-                    yield out()
-                chunk, trusted, parts = c, set(), []
-            if kind == 0:
-                trusted.update(rows)
-                continue
-            for first, docs in _goes(blob):
-                code, owner = word_grams_of(docs)
-                known = np.array([r in trusted for r in rows[first : first + len(docs)]], dtype=np.int64)
-                values, turn = np.unique(code, return_inverse=True)
-                parts.append((values, np.bincount(turn, weights=known[owner], minlength=len(values)).astype(np.int64)))
-            if len(parts) > 8:
+        for s, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if s != shard and parts:
+                yield out()
+                parts = []
+            shard, seen = s, True
+            steps, counts = _unpack(data)
+            parts.append((np.cumsum(steps, dtype=np.uint64), counts))
+            if len(parts) > 16:
                 parts = [_merged(parts)]
     if parts:
         yield out()
+    if seen:
+        width = _CELLS // SEGMENTS
+        for k in range(SEGMENTS):
+            yield _messages([(-1, 1, k, _pack(*cells[:, k * width : (k + 1) * width].astype("<u8"), (often if k == 0 else often * 0).astype("<u8")))])
 
 
-def counts_of_counts(counts: np.ndarray) -> list[int]:
-    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
+def _add_segments(table: pa.Table) -> pa.Table:
+    total = None
+    for blob in table["data"]:
+        columns = [c.astype("<u8") for c in _unpack(blob.as_py())]
+        total = columns if total is None else [a + b for a, b in zip(total, columns, strict=True)]
+    return pa.table({"piece": table["piece"][:1], "data": pa.array([_pack(*total)], pa.binary())})
 
 
-def lower(values: np.ndarray, order: int, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Continuation counts: of grams of ``order`` + 1, the distinct ones without their first byte or word."""
-    return np.unique(values & np.uint64((1 << bits * order) - 1), return_counts=True)
-
-
-def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shard's counts over all chunks, with what the other orders need to know of it."""
-    schema = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("coc", pa.list_(pa.int64())), ("word", pa.list_(pa.int32())), ("word_n", pa.list_(pa.int64()))])
-    held: dict[int, list] = {}
-    for batch in batches:
-        for shard, grams, counts in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
-            values, n = _unpack(grams), np.frombuffer(zstandard.decompress(counts), dtype="<i8")
-            parts = held.setdefault(shard, [])
-            parts.append((values, n))
-            if len(parts) > 16:
-                held[shard] = [_merged(parts)]
-    for shard, parts in held.items():
-        values, counts = _merged(parts)
-        two, c2 = lower(values, 2, WORD_BITS)
-        one, c1 = lower(two, 1, WORD_BITS)
-        coc = counts_of_counts(counts) + counts_of_counts(c2)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "grams": [_pack(values)], "counts": [zstandard.compress(counts.astype("<i8").tobytes(), 3)], "coc": [coc], "word": [one.astype(np.int32)], "word_n": [c1.astype(np.int64)]}, schema=schema)
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
 
 def discounts(coc: list[int]) -> tuple[float, float, float]:
@@ -212,90 +234,125 @@ def discounts(coc: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))
 
 
-class Order:
-    """One order: discounted counts by gram, and mass and back-off weight by context."""
+def discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return counts - np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+
+
+def word_order(counts: np.ndarray) -> np.ndarray:
+    """The probabilities of order 1 for all cells, from their continuation counts, interpolated with all cells alike."""
+    total, uniform = counts.sum(), 1 / len(counts)
+    if not total:
+        return np.full(len(counts), uniform)
+    part = discounted(counts, discounts(counts_of_counts(counts)))
+    return part / total + (total - part.sum()) / total * uniform
 
-    def __init__(self, values: np.ndarray, counts: np.ndarray, d: tuple[float, float, float], bits: int = 8):
-        self.values, self.bits = values, np.uint64(bits)
-        cut = np.array([0.0, *d])[np.minimum(counts, 3)]
-        self.part = counts - cut
-        self.context, turn = np.unique(values >> self.bits, return_inverse=True)
-        total = np.bincount(turn, weights=counts, minlength=len(self.context))
-        self.total = total
-        self.back = np.bincount(turn, weights=cut, minlength=len(self.context)) / np.maximum(total, 1)
 
-    def prob(self, grams: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Interpolated with the next lower order's; where the context is unknown that alone."""
-        if not len(self.values):
-            return below
-        at = np.minimum(np.searchsorted(self.values, grams), len(self.values) - 1)
-        part = np.where(self.values[at] == grams, self.part[at], 0.0)
-        context = grams >> self.bits
-        where = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        return np.where(self.context[where] == context, part / self.total[where] + self.back[where] * below, below)
+class Model:
+    """What is broadcast: total, back and P1 of all cells, whether a cell ends a known bigram, and the discounts."""
 
+    def __init__(self, cells: np.ndarray, often: list[int]):
+        total, one, two, more, ends = cells
+        self.cut = discounts(often)
+        self.total, self.ends = total.astype(np.float32), ends > 0
+        self.back = np.where(total > 0, (self.cut[0] * one + self.cut[1] * two + self.cut[2] * more) / np.maximum(total, 1), 1.0).astype(np.float32)
+        self.p1 = word_order(ends).astype(np.float32)
 
-def low_orders(pairs: dict[int, int]) -> np.ndarray:
-    """The probabilities of order 2 for all 65,536 pairs, from continuation counts."""
-    two = np.array(sorted(pairs), dtype=np.uint64)
-    c2 = np.array([pairs[int(x)] for x in two], dtype=np.int64)
-    one, c1 = np.unique(two & np.uint64(0xFF), return_counts=True)
-    uniform = np.full(256, 1 / 256)
-    p1 = Order(one, c1, discounts(counts_of_counts(c1))).prob(np.arange(256, dtype=np.uint64), uniform) if len(one) else uniform
-    every = np.arange(1 << 16, dtype=np.uint64)
-    return Order(two, c2, discounts(counts_of_counts(c2))).prob(every, np.tile(p1, 256)) if len(two) else np.tile(p1, 256)
+    def base(self, code: np.ndarray) -> np.ndarray:
+        """log(back P1) of bigrams."""
+        return np.log(self.back[(code >> _BITS).astype(np.int64)].astype(np.float64) * self.p1[(code & _MASK).astype(np.int64)])
 
+    def may_gain(self, code: np.ndarray) -> np.ndarray:
+        """Whether both words are known in their places; else the model lacks the bigram."""
+        return (self.total[(code >> _BITS).astype(np.int64)] > 0) & self.ends[(code & _MASK).astype(np.int64)]
+
+    def gain(self, code: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        first = (code >> _BITS).astype(np.int64)
+        return np.log1p(discounted(counts, self.cut) / (self.total[first].astype(np.float64) * self.back[first] * self.p1[(code & _MASK).astype(np.int64)]))
+
+
+def _ask_batches(model, bits: int, shards: int):
+    """From (row, text) to a directory a piece (kind 2: rows, bigrams and base sums) and its requests (kind 1), a message a shard.
+
+    A request has the distinct hashes, how many documents ask for each, their
+    numbers and how often each holds it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for rows, texts in _pieces(batches):
+            code, owner = bigrams_of(texts)
+            n = np.bincount(owner, minlength=len(rows))
+            base = np.bincount(owner, weights=m.base(code), minlength=len(rows))
+            piece = int(rows[0])
+            out = [(piece % shards, 2, piece, _pack(rows.astype("<i8").view("<u8"), n.astype("<u4"), base.view("<u8")))]
+            open_ = m.may_gain(code)
+            pair, times = np.unique(hashed(code[open_], bits) << np.uint64(DOC_BITS) | owner[open_].astype(np.uint64), return_counts=True)
+            key, doc = pair >> np.uint64(DOC_BITS), (pair & np.uint64((1 << DOC_BITS) - 1)).astype("<u2")
+            cuts = np.searchsorted(shard_of(key, bits, shards), np.arange(shards + 1))
+            for s in range(shards):
+                a, b = int(cuts[s]), int(cuts[s + 1])
+                if a < b:
+                    start = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
+                    out.append((s, 1, piece, _pack(_steps(key[a:b][start]), np.diff(np.append(start, b - a)).astype("<u4"), doc[a:b], times[a:b].astype("<u4"))))
+            yield _messages(out)
 
-def word_order(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The probabilities of order 1 for all cells, from sorted words' continuation counts."""
-    uniform = np.full(1 << WORD_BITS, 1 / (1 << WORD_BITS))
-    return Order(words, counts, discounts(counts_of_counts(counts)), WORD_BITS).prob(np.arange(1 << WORD_BITS, dtype=np.uint64), uniform)
+    return run
 
 
-def _answer_batches(low, cuts: list[tuple[float, float, float]]):
-    """From sorted (shard, kind, chunk, grams, counts) with the shard's table first to each request's log-probabilities."""
+def _answer_batches(model, bits: int):
+    """From messages sorted by shard and kind to sums of gains, sparse over a piece's documents (kind 0), and the directories (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p1 = np.frombuffer(low.value, dtype="<f4")
-        shard, orders = None, []
+        m = model.value
+        shard, keys, gains = None, np.zeros(0, dtype=np.uint64), np.zeros(0)
         for batch in batches:
-            for s, kind, chunk, grams, counts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                values = _unpack(grams)
+            for s, kind, piece, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if s != shard:
-                    shard, orders = s, []
+                    shard, keys, gains = s, np.zeros(0, dtype=np.uint64), np.zeros(0)
                 if kind == 0:
-                    n = np.frombuffer(zstandard.decompress(counts), dtype="<i8")
-                    two, c2 = lower(values, 2, WORD_BITS)
-                    orders = [Order(two, c2, cuts[1], WORD_BITS), Order(values, n, cuts[0], WORD_BITS)]
-                    continue
-                p = p1[(values & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)].astype(np.float64)
-                for k, order in zip((2, 3), orders, strict=False):
-                    p = order.prob(values & np.uint64((1 << WORD_BITS * k) - 1), p)
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "kind": [0], "blob": [grams], "more": [zstandard.compress(np.log(p).astype("<f4").tobytes(), 3)], "rows": [None]}, schema=_BLOB)
+                    steps, counts = _unpack(data)
+                    code = np.cumsum(steps, dtype=np.uint64)
+                    keys, first = np.unique(hashed(code, bits), return_index=True)
+                    gains = m.gain(code[first], counts[first])
+                elif kind == 2:
+                    yield _messages([(0, 2, piece, data)])
+                elif len(keys):
+                    steps, n, doc, times = _unpack(data)
+                    asked = np.cumsum(steps, dtype=np.uint64)
+                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                    gain = np.repeat(np.where(keys[at] == asked, gains[at], 0.0), n)
+                    total = np.round(GAIN_STEPS * np.bincount(doc, weights=gain * times)).astype(np.uint32)
+                    docs = np.flatnonzero(total)
+                    if len(docs):
+                        yield _messages([(0, 0, piece, _pack(_steps(docs).astype("<u2"), total[docs]))])
 
     return run
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted (chunk, kind, ...) with a chunk's answers before its documents to (row, n, logp)."""
-    chunk, answers, values, logs = None, [], None, None
+    """From answers sorted by piece to (row, n, logp)."""
+    piece, directory, parts = None, None, []
+
+    def out():
+        rows, n, base = directory
+        logp = base.view("<f8").copy()
+        for docs, total in parts:
+            logp[docs] += total / GAIN_STEPS
+        return pa.RecordBatch.from_arrays([pa.array(rows.view("<i8")), pa.array(n.astype(np.int64)), pa.array(logp)], ["row", "n", "logp"])
+
     for batch in batches:
-        for c, kind, blob, more, rows in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if c != chunk:
-                chunk, answers, values = c, [], None
-            if kind == 0:
-                answers.append((_unpack(blob), np.frombuffer(zstandard.decompress(more), dtype="<f4")))
-                continue
-            if values is None:
-                values, logs = np.concatenate([a for a, _ in answers]), np.concatenate([b for _, b in answers])
-                order = np.argsort(values, kind="stable")
-                values, logs, answers = values[order], logs[order], []
-            n, total = [], []
-            for _, docs in _goes(blob):
-                code, owner = word_grams_of(docs)
-                n.append(np.bincount(owner, minlength=len(docs)))
-                total.append(np.bincount(owner, weights=logs[np.searchsorted(values, code)], minlength=len(docs)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))], ["row", "n", "logp"])
+        for p, kind, data in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if p != piece:
+                if directory is not None:
+                    yield out()
+                piece, directory, parts = p, None, []
+            if kind == 2:
+                directory = _unpack(data)
+            else:
+                steps, total = _unpack(data)
+                parts.append((np.cumsum(steps, dtype=np.int64), total))
+    if directory is not None:
+        yield out()
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -307,30 +364,52 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    shards = max(LEAST_SHARDS, 2 * n)
-    blobs = docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_blob_batches, BLOB_SCHEMA)
-    own = docs.select("doc_id", "row", (F.pmod(F.xxhash64(text_or_empty()), F.lit(FOLDS)) == 0).alias("held"))
-    known = stage(own.join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("row", "held"), "trusted")
-    by_chunk = known.where("not held").groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.collect_list("row").alias("rows"))
-    marks = by_chunk.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("more"), "rows")
-    first = marks.union(blobs).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    requests = stage(first.mapInArrow(lambda batches: _count_batches(batches, shards), "shard int, kind int, chunk long, grams binary, counts binary"), "requests")
-
-    tables = stage(requests.where("kind = 2").repartition(n, "shard").mapInArrow(_table_batches, "shard int, grams binary, counts binary, coc array<long>, word array<int>, word_n array<long>"), "tables")
-    coc = tables.agg(*[F.coalesce(F.sum(F.col("coc")[i]), F.lit(0)).alias(f"n{i}") for i in range(8)]).first()
-    words = tables.select(F.explode(F.arrays_zip("word", "word_n")).alias("w")).groupBy(F.col("w.word").alias("word")).agg(F.sum("w.word_n").alias("n"))
-    words = words.toArrow().sort_by("word")  # at most 1 << WORD_BITS rows
-    low = word_order(words["word"].to_numpy().astype(np.uint64), words["n"].to_numpy())
-    cuts = [discounts([coc[f"n{4 * k + i}"] for i in range(4)]) for k in range(2)]
-    held = spark.sparkContext.broadcast(low.astype("<f4").tobytes())
-    asked = tables.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("chunk"), "grams", "counts").union(requests.where("kind = 1").select("shard", "kind", "chunk", "grams", "counts"))
-    answers = asked.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer_batches(held, cuts), BLOB_SCHEMA)
-    second = answers.union(blobs).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    scores = second.mapInArrow(_score_batches, "row long, n long, logp double")
-    return scores.join(known.withColumn("trusted", F.lit(True)), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    own = docs.select("doc_id", "row", (F.pmod(F.xxhash64(text_or_empty()), F.lit(FOLDS)) == 0).alias("held"), F.octet_length(text_or_empty()).alias("bytes"))
+    known = stage(own.join(trusted.select("doc_id").where("doc_id is not null").distinct(), "doc_id").select("row", "held", "bytes"), "trusted")
+    counted = known.where("not held").select("row", "bytes")
+    size = counted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    bits, shards = hash_bits(size.bytes), max(LEAST_SHARDS, -(-size.bytes // SHARD_BYTES))
+
+    texts, marks = docs.select("row", F.col("text").cast("string").alias("text")), None
+    if size.rows <= MOST_MARKS:
+        rows = np.sort(counted.select("row").toArrow()["row"].to_numpy().astype("<i8"))
+        marks, good = spark.sparkContext.broadcast(rows.tobytes()), texts
+    else:
+        good = texts.join(counted.select("row"), "row", "left_semi").select("row", "text")
+    counts = good.mapInArrow(_count_batches(marks, bits, shards), MESSAGE_SCHEMA)
+    tables = stage(counts.repartition(min(n, shards), "shard").sortWithinPartitions("shard").mapInArrow(_table_batches, MESSAGE_SCHEMA), "tables")
+    segments = tables.where("shard = -1").select("piece", "data").groupBy("piece").applyInArrow(_add_segments, "piece long, data binary").collect()  # SEGMENTS rows, 5 numbers a cell in all
+    cells, often = np.zeros((5, _CELLS), dtype=np.int64), [0] * 4
+    for part in segments:
+        *columns, few = _unpack(bytes(part.data))
+        width = _CELLS // SEGMENTS
+        cells[:, part.piece * width : (part.piece + 1) * width] = np.stack(columns).astype(np.int64)
+        often = [a + int(b) for a, b in zip(often, few, strict=True)]
+    model = spark.sparkContext.broadcast(Model(cells, often))
+
+    asked = tables.where("shard >= 0").union(texts.mapInArrow(_ask_batches(model, bits, shards), MESSAGE_SCHEMA))
+    answers = asked.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer_batches(model, bits), MESSAGE_SCHEMA)
+    scores = answers.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(_score_batches, "row long, n long, logp double")
+    return scores.join(known.select("row", "held", F.lit(True).alias("trusted")), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def _normal_bound(n, mean, deviation, quantile: float):
+    """The bound under which one more row of a normal variable stays with that chance, told from n rows."""
+    # Student's t by its expansion, since so few rows know mean and deviation only roughly.
+    z, free = NormalDist().inv_cdf(quantile), F.greatest(n - 1, F.lit(1)).cast("double")
+    t = F.lit(z) + F.lit((z**3 + z) / 4) / free + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (free * free)
+    return F.exp(mean + t * F.sqrt(1 + 1 / (free + 1)) * deviation)
+
+
+def _quantiles(rows: DataFrame, quantile: float) -> DataFrame:
+    """(key, q): the quantile of each key's perplexities, rounded up to a whole number of BIN on the scale of logarithms."""
+    bins = rows.groupBy("key", F.ceil(F.log("perplexity") / BIN).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("key")
+    bins = bins.withColumn("upto", F.sum("n").over(every.orderBy("bin"))).withColumn("all", F.sum("n").over(every))
+    return bins.where(F.col("upto") >= F.col("all") * quantile).groupBy("key").agg(F.exp(F.min("bin") * BIN).alias("q"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, key: str | None = None) -> DataFrame:
     """Perplexity and verdict for each row of ``docs`` (doc_id, text, lang).
 
     A row's threshold is the quantile of the held-out trusted rows'
@@ -338,22 +417,20 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     than two; a language without trusted rows takes all its rows.  Returns doc_id, row, lang, perplexity, threshold, kept.  An empty or
     null text is judged by its end alone; a null lang is a language of its own;
     a null doc_id is never trusted; repeated rows count each.  Without trusted
-    rows every word is equally likely.  Without rows the result is empty.  Other
-    columns are not read.
+    rows every word is equally likely.  Without rows the result is empty.  ``row``
+    is the caller's ``key``, if one is named; other columns are not read.
     """
-    row = row_key(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text"), F.col("lang").cast("string").alias("lang"))
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), key=key)
     scored = perplexities(rows, trusted.select(F.col("doc_id").cast("long").alias("doc_id")))
     scored = stage(rows.select("doc_id", "row", "lang", key_of("lang").alias("key")).join(scored, "row"), "perplexities")
-    at = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
-    cost = F.when(F.col("held"), F.col("perplexity"))
-    # Student's t by its expansion, since so few rows know mean and deviation only roughly.
-    z, free = NormalDist().inv_cdf(quantile), F.greatest(F.count(cost) - 1, F.lit(1)).cast("double")
-    t = F.lit(z) + F.lit((z**3 + z) / 4) / free + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (free * free)
-    normal = F.exp(F.avg(F.log(cost)) + t * F.sqrt(1 + 1 / (free + 1)) * F.stddev_samp(F.log(cost)))
-    held = F.when(F.count(cost) >= LEAST_HELD, at(cost)).when(F.count(cost) > 1, normal)
-    everywhere = scored.agg(held.alias("q")).first().q
-    own = F.when(F.max("trusted"), F.coalesce(held, F.lit(everywhere).cast("double")))
-    groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.coalesce(own, at(F.col("perplexity"))).alias("q"))
-    out = attach_groups(scored, groups, "key", "members", F.col("row")).withColumnRenamed("q", "threshold")
+    held = scored.where("held")
+    figures = [F.count(F.lit(1)).alias("n"), F.avg(F.log("perplexity")).alias("mean"), F.stddev_samp(F.log("perplexity")).alias("deviation")]
+    bound = F.when(F.col("n") >= LEAST_HELD, F.col("q")).when(F.col("n") > 1, _normal_bound(F.col("n"), F.col("mean"), F.col("deviation"), quantile))
+    together = held.withColumn("key", F.lit(""))
+    everywhere = together.groupBy("key").agg(*figures).join(_quantiles(together, quantile), "key").select(bound.alias("q")).first()
+    own = held.groupBy("key").agg(*figures).join(_quantiles(held, quantile), "key").select("key", bound.alias("own"))
+    groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("trusted").alias("good")).join(own, "key", "left").join(_quantiles(scored, quantile), "key", "left")
+    told = F.when(F.col("good"), F.coalesce("own", F.lit(everywhere.q if everywhere else None).cast("double")))
+    groups = groups.select("key", "members", F.coalesce(told, "q").alias("threshold"))
+    out = attach_groups(scored, groups, "key", "members", F.col("row"))
     return out.select("doc_id", "row", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), (F.col("perplexity") <= F.col("threshold")).alias("kept"))

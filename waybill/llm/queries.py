@@ -67,7 +67,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, from its text, declared language and source."""
     from waybill.llm.language_id import identify_documents
 
-    return identify_documents(read_table(spark, sf_dir, "documents")).drop("row")
+    return identify_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("row")
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
-         md5('mix-1|' || CAST(doc_id AS VARCHAR)) AS draw,
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS draw,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
 ), s AS (
@@ -148,6 +148,57 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+OP5_SQL = """
+WITH RECURSIVE step AS (
+  SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8
+), d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
+         CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+         CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS UBIGINT))),
+                              lambda c, b: xor(c >> 8, crc.t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32
+  FROM documents, crc
+), r AS (
+  SELECT *, md5(concat_ws('|', 'shard-1', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(text_crc32 AS VARCHAR), CAST(size AS VARCHAR))) AS draw FROM d
+), s AS (
+  SELECT *, CAST(2 * row_number() OVER (PARTITION BY skey ORDER BY draw, doc_id NULLS FIRST, size, text_crc32) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY skey) AS DOUBLE) AS share FROM r
+), a AS (
+  SELECT *, row_number() OVER (ORDER BY share, draw, doc_id NULLS FIRST, encode(source) NULLS FIRST, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM s
+), p AS (
+  SELECT *, CAST(pos * 24 // total AS INT) AS shard FROM a
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(pos - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM p
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rn, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), g AS (
+  SELECT DISTINCT rn, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i : i + 4], ' ') END AS gram
+  FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0
+), n AS (
+  SELECT rn, count(*) AS n FROM g GROUP BY rn
+), o AS (
+  SELECT a.rn AS a, b.rn AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.rn < b.rn GROUP BY ALL
+), l AS (
+  SELECT o.a, o.b FROM o JOIN n x ON o.a = x.rn JOIN n y ON o.b = y.rn WHERE 100 * common >= 80 * (x.n + y.n - common)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT rn, rn AS other FROM w
+  UNION
+  SELECT reach.rn, e.b FROM reach JOIN e ON reach.other = e.a
+), c AS (
+  SELECT reach.rn, min(w.doc_id) AS component_id FROM reach JOIN w ON reach.other = w.rn GROUP BY reach.rn
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w JOIN c USING (rn) LEFT JOIN n USING (rn)
+"""
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -175,4 +226,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_warc": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_warc": OP4_SQL, "op5_sharding": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_exact_dedup": OP10_SQL}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import partitions, row_key, stage
+from waybill.llm.common import numbered, partitions, stage
 from waybill.llm.textscan import Scan, _powers_for, mix64, scans
 
 #: A run of repeated units goes if it has so many words.
@@ -19,6 +19,7 @@ LINE_WORDS = 3
 #: Lines are numbered from here among a document's units.
 _LINES = 1 << 30
 _LINE_SALT = np.uint64(0xA0761D6478BD642F)
+_CHECK_SALT = np.uint64(0x8EBC6AF09C88C6E3)
 _CLOSERS = np.zeros(256, dtype=bool)
 _CLOSERS[list(b".!?")] = True
 
@@ -27,10 +28,11 @@ class Units:
     """The units of a scan: lines, cut further behind words that end in ``.``, ``!`` or ``?``.
 
     ``word`` holds each unit's first word and ``first`` each document's first
-    unit; ``digest`` is a 64-bit hash of the unit's folded words in turn, so
-    that case of A-Z and white space do not count.  ``line`` holds each line's
-    first unit, ``line_first`` each document's first line, ``line_words`` and
-    ``line_digest`` a line's words and their hash, unlike any unit's.
+    unit; ``digest`` and ``check`` are two 64-bit hashes of the unit's folded
+    words in turn, so that case of A-Z and white space do not count.  ``line`` holds each line's
+    first unit, ``line_first`` each document's first line, ``line_words`` a
+    line's words, ``line_digest`` and ``line_check`` their hashes, unlike any
+    unit's.
     """
 
     def __init__(self, scan: Scan):
@@ -46,18 +48,20 @@ class Units:
         self.word = np.concatenate([[0], np.flatnonzero(ends) + 1])[: int(ends.sum())]
         self.after = np.flatnonzero(ends) + 1
         up, down = _powers_for(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(scan.word_hashes() * up[:n], out=total[1:])
+        hashes = scan.word_hashes()
+        totals = np.zeros((2, n + 1), dtype=np.uint64)
+        np.cumsum(hashes * up[:n], out=totals[0, 1:])
+        np.cumsum(mix64(hashes ^ _CHECK_SALT) * up[:n], out=totals[1, 1:])
 
-        def digest(word, after):
+        def digest(total, word, after):
             return mix64((total[after] - total[word]) * down[word] + (after - word).astype(np.uint64))
 
-        self.digest = digest(self.word, self.after)
+        self.digest, self.check = (digest(t, self.word, self.after) for t in totals)
         self.first = np.searchsorted(self.word, scan.first)
         after = np.flatnonzero(breaks) + 1 if n else self.after
         word = np.concatenate([[0], after])[: len(after)]
         self.line, self.line_words = np.searchsorted(self.word, word), after - word
-        self.line_digest = mix64(digest(word, after) ^ _LINE_SALT)
+        self.line_digest, self.line_check = (mix64(digest(t, word, after) ^ _LINE_SALT) for t in totals)
         self.line_first = np.searchsorted(word, scan.first)
 
 
@@ -71,28 +75,30 @@ def _unit_batches(batches: Iterator[pa.RecordBatch], line_words: int = LINE_WORD
         nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         doc_ids = batch.column(0).fill_null(0).to_numpy()
         rows = batch.column(1).to_numpy()
-        digests, docs, units = [], [], []
+        digests, checks, docs, units = [], [], [], []
         for first_row, scan in scans(batch.column(2), fold=True):
             u = Units(scan)
             owner = np.repeat(np.arange(scan.n_docs), np.diff(u.first))
             digests.append(u.digest)
+            checks.append(u.check)
             docs.append(owner + first_row)
             units.append(np.arange(len(u.digest)) - u.first[owner])
             owner = np.repeat(np.arange(scan.n_docs), np.diff(u.line_first))
             long = u.line_words >= line_words
             digests.append(u.line_digest[long])
+            checks.append(u.line_check[long])
             docs.append((owner + first_row)[long])
             units.append((_LINES + np.arange(len(owner)) - u.line_first[owner])[long])
         if not digests:
             continue
-        digest, doc, unit = np.concatenate(digests), np.concatenate(docs), np.concatenate(units)
-        order = np.lexsort((unit, rows[doc], doc_ids[doc], nameless[doc], digest))
-        digest, doc, unit = digest[order], doc[order], unit[order]
+        digest, check, doc, unit = np.concatenate(digests), np.concatenate(checks), np.concatenate(docs), np.concatenate(units)
+        order = np.lexsort((unit, rows[doc], doc_ids[doc], nameless[doc], check, digest))
+        digest, check, doc, unit = digest[order], check[order], doc[order], unit[order]
         fresh = np.ones(len(digest), dtype=bool)
-        fresh[1:] = digest[1:] != digest[:-1]
+        fresh[1:] = (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digest.view(np.int64), mask=~fresh), batch.column(0).take(pa.array(doc)), pa.array(rows[doc]), pa.array(unit.astype(np.int32))],
-            ["digest", "doc_id", "row", "unit"],
+            [pa.array(digest.view(np.int64), mask=~fresh), pa.array(check.view(np.int64), mask=~fresh), batch.column(0).take(pa.array(doc)), pa.array(rows[doc]), pa.array(unit.astype(np.int32))],
+            ["digest", "check", "doc_id", "row", "unit"],
         )
 
 
@@ -100,14 +106,14 @@ def _later_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Of units sorted by digest and rank: those that are not the first of their digest."""
     last = None
     for batch in batches:
-        digest = batch.column(0).to_numpy()
+        digest, check = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(digest):
             continue
         later = np.zeros(len(digest), dtype=bool)
-        later[1:] = digest[1:] == digest[:-1]
-        later[0] = last is not None and digest[0] == last
-        last = digest[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(later)) for k in (2, 3)], ["row", "unit"])
+        later[1:] = (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
+        later[0] = last == (digest[0], check[0])
+        last = (digest[-1], check[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(later)) for k in (3, 4)], ["row", "unit"])
 
 
 _CLEAN_SCHEMA = "doc_id long, row long, text string, removed array<struct<start:long,end:long>>, n_words long, removed_words long"
@@ -175,27 +181,26 @@ def _clean_batches(min_words: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, key: str | None = None) -> DataFrame:
     """Remove passages of ``docs`` (doc_id, text) that stand earlier in the corpus.
 
     Units (see ``Units``) are ranked by doc_id, row and place; the first of each
     digest stays and the others are repeats.  A maximal run of repeats in a
     document goes if it has at least ``min_words`` words, so that stock phrases
-    inside lines stay.  Lines are ranked alike, and those that stand earlier as a
+    inside lines stay; with ``min_words`` and ``line_words`` of 1 every repeat goes.  Lines are ranked alike, and those that stand earlier as a
     whole go if they have at least ``line_words`` words.  Returns one row per row of ``docs``: doc_id,
     row, text (cleaned), removed (spans of the original text in characters, with
     the white space up to the next unit), n_words and removed_words of the
     original.  A document that only repeats others becomes empty.  Null text
     stays null and has no units; a null doc_id ranks last; repeated rows repeat
-    each other.  Without rows the result is empty.  Other columns are not read.
+    each other; ``row`` is the caller's ``key``, if one is named.  Without rows the result is empty.  Other columns are not read.
     """
-    row = row_key(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, F.col("text").cast("string").alias("text"))
-    units = stage(rows.mapInArrow(lambda batches: _unit_batches(batches, line_words), "digest long, doc_id long, row long, unit int"), "units")
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key=key).select("doc_id", "row", "text")
+    units = stage(rows.mapInArrow(lambda batches: _unit_batches(batches, line_words), "digest long, check long, doc_id long, row long, unit int"), "units")
     n = partitions(docs.sparkSession)
-    order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("unit")]
+    order = [F.col("digest"), F.col("check"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("unit")]
     later = units.where("digest is not null").repartition(n, "digest").sortWithinPartitions(*order).mapInArrow(_later_batches, "row long, unit int")
     repeats = units.where("digest is null").select("row", "unit").union(later)
     marked = repeats.groupBy("row").agg(F.collect_list("unit").alias("units"))
-    joined = rows.join(marked.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "units")
+    joined = rows.join(marked.hint("merge"), "row", "left").select("doc_id", "row", "text", "units")
     return joined.mapInArrow(_clean_batches(min_words), _CLEAN_SCHEMA)

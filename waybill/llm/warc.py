@@ -13,7 +13,9 @@ a lost task is written or read again:
   compressed data fails this, and the stretch goes to the member before it;
   stretches that cross a range border are put together in a second step.
 
-Archive files should not end in ``.gz``: Spark would then unpack them as a whole.
+Names that end in ``.gz`` would make Spark unpack a file as one stream and lose
+its members' borders; a codec that passes bytes through stands in for gzip.
+Hadoop takes no compressed name for splittable, so such a file is one range.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.cast("binary").alias("payload"), F.sha1(html.cast("binary")).alias("digest"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("digest", "page_id")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    rows = attach_groups(rows, groups.where("n > 1"), "digest", "n", F.col("page_id"))
+    rows = attach_groups(rows, groups.where("n > 1"), "digest", "n", F.xxhash64("page_id", "url"))
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("keep")), F.col("keep"))
     members = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_member_batches, "member binary")
     members.select(F.col("member").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
@@ -139,7 +141,21 @@ class _Member:
         return self.ok and (self.text()[:5] == b"WARC/" or self.inflate.eof and not self.text())
 
 
-def _record_batches(with_payload: bool):
+def _damaged(path: str) -> tuple:
+    """What stands for a damaged member: the archive's path as its target."""
+    return (None, path, "damaged", None, None, None, None)
+
+
+def _record(text: bytes, with_payload: bool, path: str, errors: str) -> tuple:
+    try:
+        return parse_record(text, with_payload)
+    except ValueError:
+        if errors == "raise":
+            raise
+        return _damaged(path)
+
+
+def _record_batches(with_payload: bool, errors: str):
     """From (path, start, stretch) in file order to records; pieces that need another range have ``piece`` set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,21 +185,29 @@ def _record_batches(with_payload: bool):
                         # What stands before a file's first magic is no member.
                         continue
                 raw = MAGIC + (stretch or b"")
-                if current is None:
+                if current is not None:
+                    current.take(raw)
+                    if not current.ok:
+                        if errors == "raise":
+                            raise ValueError(f"{path}: a gzip member that starts in the range at {start} is damaged")
+                        # The next member may start right here.
+                        rows.append((*_damaged(path), None, None, None, None))
+                        current = _Member()
+                        current.take(raw)
+                        if not current.begins():
+                            current = None
+                            continue
+                else:
                     current = _Member()
                     current.take(raw)
                     if not current.begins():
                         # It goes on with another range's member, or is too short to tell.
                         rows.append(piece(current))
                         current = None
-                else:
-                    current.take(raw)
-                    if not current.ok:
-                        raise ValueError(f"{path}: a gzip member that starts in the range at {start} is damaged")
                 if current is not None and current.whole:
                     text = current.text()
                     if text:
-                        rows.append((*parse_record(text, with_payload), None, None, None, None))
+                        rows.append((*_record(text, with_payload, path, errors), None, None, None, None))
                         held += len(text) if with_payload else 0
                     current = None
                 if len(rows) >= 5000 or held > 16 << 20:
@@ -198,40 +222,54 @@ def _record_batches(with_payload: bool):
 _PIECES = pa.schema([*_RECORD, ("path", pa.string()), ("start", pa.int64()), ("ord", pa.int64()), ("piece", pa.binary())])
 
 
-def _stitch(with_payload: bool):
+def _stitch(with_payload: bool, errors: str):
     """Put the pieces of one file together, in order."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, current = [], None
+        rows, current, path = [], None, table["path"][0].as_py()
         for piece in table.sort_by([("start", "ascending"), ("ord", "ascending")])["piece"]:
             if current is None:
                 current = _Member()
             current.take(piece.as_py())
             if not current.ok:
-                raise ValueError("a gzip member that crosses ranges is damaged")
+                if errors == "raise":
+                    raise ValueError(f"{path}: a gzip member that crosses ranges is damaged")
+                rows.append(_damaged(path))
+                current = _Member()
+                current.take(piece.as_py())
+                if not current.begins():
+                    current = None
+                    continue
             if current.whole:
                 if current.text():
-                    rows.append(parse_record(current.text(), with_payload))
+                    rows.append(_record(current.text(), with_payload, path, errors))
                 current = None
         if current is not None:
-            raise ValueError("the last gzip member of an archive is cut short")
+            if errors == "raise":
+                raise ValueError(f"{path}: the last gzip member is cut short")
+            rows.append(_damaged(path))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RECORD, strict=True)], schema=_RECORD)
 
     return run
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, errors: str = "raise") -> DataFrame:
     """The records of the archives at ``path``: see RECORD_SCHEMA.
 
-    Ranges follow ``spark.sql.files.maxPartitionBytes``.  Empty members and
-    empty files give nothing; damaged or truncated archives raise an error.
+    Ranges follow ``spark.sql.files.maxPartitionBytes``; a file whose name ends
+    in ``.gz`` is one range.  Empty members and empty files give nothing.
+    Damaged or truncated archives raise an error, or with ``errors="row"`` give a
+    row of record_type ``damaged`` with the archive's path as target_uri for each
+    damaged member, and all other records.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1"))
+    passing = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    lines = lines.option("io.compression.codecs", passing.CLASSNAME).option(passing.OPT_EXTENSION, ".gz").text(path)
     stretches = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("stretch"))
-    found = stretches.mapInArrow(_record_batches(with_payload), RECORD_SCHEMA + ", path string, start long, ord long, piece binary")
+    found = stretches.mapInArrow(_record_batches(with_payload, errors), RECORD_SCHEMA + ", path string, start long, ord long, piece binary")
     whole = found.where("piece is null").drop("path", "start", "ord", "piece")
-    crossing = found.where("piece is not null").select("path", "start", "ord", "piece").groupBy("path").applyInArrow(_stitch(with_payload), RECORD_SCHEMA)
+    crossing = found.where("piece is not null").select("path", "start", "ord", "piece").groupBy("path").applyInArrow(_stitch(with_payload, errors), RECORD_SCHEMA)
     return whole.unionByName(crossing)
 
 
