@@ -34,7 +34,7 @@ from waybill.llm.textscan import mix64, scans
 #: log2 of the cells that words are hashed to; a bigram has two.  Cells 0 and 1 stand for a text's start and end.
 WORD_BITS = 21
 #: Bytes of text and rows in a piece, the unit in which a task asks; one longer text is a piece by itself.
-PIECE_BYTES, DOC_BITS = 16 << 20, 15
+PIECE_BYTES, DOC_BITS = 6 << 20, 15
 #: Bits of a bigram's hash beyond those that number the trusted words: one bigram in so many powers of two takes another's count.
 SPARE_BITS = 9
 #: Bytes of trusted text a shard stands for, and the least number of shards.
@@ -286,7 +286,9 @@ def _ask_batches(model, bits: int, shards: int):
             piece = int(rows[0])
             out = [(piece % shards, 2, piece, _pack(rows.astype("<i8").view("<u8"), n.astype("<u4"), base.view("<u8")))]
             open_ = m.may_gain(code)
-            pair, times = np.unique(hashed(code[open_], bits) << np.uint64(DOC_BITS) | owner[open_].astype(np.uint64), return_counts=True)
+            code, owner = code[open_], owner[open_]
+            pair, times = np.unique(hashed(code, bits) << np.uint64(DOC_BITS) | owner.astype(np.uint64), return_counts=True)
+            del code, owner
             key, doc = pair >> np.uint64(DOC_BITS), (pair & np.uint64((1 << DOC_BITS) - 1)).astype("<u2")
             cuts = np.searchsorted(shard_of(key, bits, shards), np.arange(shards + 1))
             for s in range(shards):
