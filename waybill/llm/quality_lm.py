@@ -38,7 +38,7 @@ PIECE_BYTES, DOC_BITS = 6 << 20, 15
 #: Bits of a bigram's hash beyond those that number the trusted words: one bigram in so many powers of two takes another's count.
 SPARE_BITS = 9
 #: Bytes of trusted text a shard stands for, and the least number of shards.
-SHARD_BYTES, LEAST_SHARDS = 32 << 20, 32
+SHARD_BYTES, LEAST_SHARDS = 8 << 20, 16
 #: Rows of trusted text whose keys are broadcast (8 bytes each); beyond, texts are joined with them.
 MOST_MARKS = 4 << 20
 #: Parts in which the cells' counts are added up.
@@ -52,7 +52,7 @@ FOLDS = 5
 #: A language with fewer held-out rows takes the bound under which a new row of a log-normal like theirs stays with that chance.
 LEAST_HELD = 100
 #: Perplexities are told apart by so much of their logarithms when quantiles are taken.
-BIN = 1e-4
+BIN = 1e-3
 _CELLS, _BITS = 1 << WORD_BITS, np.uint64(WORD_BITS)
 _MASK = np.uint64(_CELLS - 1)
 
@@ -433,6 +433,6 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ke
     own = held.groupBy("key").agg(*figures).join(_quantiles(held, quantile), "key").select("key", bound.alias("own"))
     groups = scored.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("trusted").alias("good")).join(own, "key", "left").join(_quantiles(scored, quantile), "key", "left")
     told = F.when(F.col("good"), F.coalesce("own", F.lit(everywhere.q if everywhere else None).cast("double")))
-    groups = groups.select("key", "members", F.coalesce(told, "q").alias("threshold"))
+    groups = stage(groups.select("key", "members", F.coalesce(told, "q").alias("threshold")), "thresholds")
     out = attach_groups(scored, groups, "key", "members", F.col("row"))
     return out.select("doc_id", "row", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), (F.col("perplexity") <= F.col("threshold")).alias("kept"))
