@@ -30,6 +30,8 @@ class Config:
     late_rate: float = 0.01
     vehicles: int = 4000
     hubs: int = 240
+    retention_days: int = 90
+    compact_folders: int = 64
     seed: int = 7
     events_per_second: int = 900
     duration_seconds: int = 90

@@ -117,3 +117,28 @@ def leftover(mapping: dict[str, str]) -> Column:
 def canonical_path(target: str, mapping: dict[str, str]) -> str:
     """Where a version keeps what v1 calls ``target``."""
     return next((source for source, to in mapping.items() if to == target), target)
+
+
+def facts_of(schema: dict, path: str = "", required: bool = True) -> dict[str, dict]:
+    """What a contract promises of each path below the root: required, types, values and bounds."""
+    found = {}
+    if path:
+        types = schema.get("type", [])
+        found[path] = {"required": required, "types": {types} if isinstance(types, str) else set(types), "values": set(schema["enum"]) if "enum" in schema else None, "least": schema.get("minimum", schema.get("minLength")), "most": schema.get("maximum")}
+    for name, inner in schema.get("properties", {}).items():
+        found |= facts_of(inner, f"{path}.{name}" if path else name, name in schema.get("required", []))
+    return found
+
+
+def loosened(was: dict, now: dict) -> list[str]:
+    """In which ways a path may hold now what it could not hold before."""
+    found = []
+    if was["required"] and not now["required"]:
+        found.append("no longer required")
+    if was["types"] and (more := (now["types"] - was["types"]) or (set() if now["types"] else {"anything"})):
+        found.append(f"may be {', '.join(sorted(more))}")
+    if was["values"] is not None and (now["values"] is None or now["values"] - was["values"]):
+        found.append("new values")
+    if was["least"] is not None and (now["least"] is None or now["least"] < was["least"]) or was["most"] is not None and (now["most"] is None or now["most"] > was["most"]):
+        found.append("wider bounds")
+    return found

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.contracts.compiler import canonical_path, collected, leftover, violations, with_facts
+from waybill.contracts.compiler import canonical_path, collected, facts_of, leftover, loosened, violations, with_facts
 from waybill.contracts.versions import CONTRACTS, MAPPINGS
 
 REASON_ERRORS, KEPT_ERRORS = 3, 5
@@ -38,17 +38,17 @@ class Registry:
         return self.mapping_of.get(version, {})
 
     def check_compatibility(self, old: str, new: str) -> tuple[bool, list[str]]:
-        """Whether ``new`` keeps all that consumers of ``old`` rely on, and what it breaks.
+        """Whether readers of ``old`` can read all that ``new`` lets pass, and each path that breaks this.
 
-        An added optional field is fine; a rename is a drop and an addition.
+        A path must stay, stay required if it was, and take no other types, values
+        or wider bounds.  A new optional path is fine; a rename is a loss.
         """
-        a, b = self.load(old), self.load(new)
-        problems = [f"required field removed: {x}" for x in a["required"] if x not in b["required"]]
-        for name, spec in a["properties"].items():
-            if name not in b["properties"]:
-                problems.append(f"field dropped: {name}")
-            elif (was := spec.get("type")) and (now := b["properties"][name].get("type")) and was != now:
-                problems.append(f"type changed on {name}: {was} -> {now}")
+        was, now = facts_of(self.load(old)), facts_of(self.load(new))
+        lost = {path for path in was if path not in now}
+        # A lost container says it for all that it held.
+        problems = [f"{path}: gone" for path in lost if path.rpartition(".")[0] not in lost]
+        for path in was.keys() & now.keys():
+            problems += [f"{path}: {what}" for what in loosened(was[path], now[path])]
         return not problems, sorted(problems)
 
     def verdicts(self, records: DataFrame, raw: str = "raw_payload") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Field names, enumerations and bounds of the contracts.
+# Field names, types, enumerations and bounds of the contracts, down to MAPPINGS.
 EVENT_TYPES = ["gps_ping", "temperature", "status", "hub_scan"]
 STATUSES = ["pickup", "in_transit", "exception", "delivered"]
 REQUIRED = ["event_id", "event_type", "event_ts", "shipment_id", "source"]

@@ -37,6 +37,14 @@ def null_pct(counted: DataFrame) -> DataFrame:
     return counted.select("rows", "null_windows", F.round(pct, 6).alias("null_pct"))
 
 
+def recent_null_pct(facts: DataFrame, column: str, as_of, seconds: int) -> DataFrame:
+    """Rows ingested in the ``seconds`` up to ``as_of`` (None: now), and the percentage of them in which ``column`` is null."""
+    now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    recent = facts.where((F.col("ingest_ts") > now - F.make_dt_interval(secs=F.lit(seconds))) & (F.col("ingest_ts") <= now))
+    pct = F.count_if(F.col(column).isNull()) * F.lit(100.0) / F.nullif(F.count(F.lit(1)), F.lit(0))
+    return recent.agg(F.count(F.lit(1)).alias("n"), F.round(pct.cast("double"), 6).alias("null_pct"))
+
+
 def failures(staged: DataFrame, null_alert_pct: float = 15.0) -> list[str]:
     """What blocks the batch; empty if it may be published."""
     row = counts(staged).first().asDict()

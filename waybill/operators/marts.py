@@ -38,7 +38,7 @@ def status_delta(staged: DataFrame) -> DataFrame:
         last.append(F.max_by(F.when(known, F.col(column)), F.when(known, at)).alias(name))
         last.append(F.max(F.when(known, F.col("event_ts"))).alias(when))
     milestones = [F.min(F.when(F.col("status") == s, F.col("event_ts"))).alias(c) for s, c in MILESTONES.items()]
-    out = staged.groupBy("shipment_id").agg(F.max("event_ts").alias("last_event_ts"), *milestones, *last, F.count(F.lit(1)).alias("event_count"))
+    out = staged.groupBy("shipment_id").agg(F.max("event_ts").alias("last_event_ts"), F.min("event_ts").alias("first_event_ts"), *milestones, *last, F.count(F.lit(1)).alias("event_count"))
     return out.withColumn("shipment_key", surrogate(F.col("shipment_id"))).withColumn("is_window_breached", _breached())
 
 
@@ -51,7 +51,7 @@ def merge_status(snapshot: DataFrame, delta: DataFrame) -> DataFrame:
     o, n = snapshot.alias("o"), delta.alias("n")
     joined = o.join(n, F.col("o.shipment_key") == F.col("n.shipment_key"), "full_outer")
     both = lambda f, c: f(F.col(f"o.{c}"), F.col(f"n.{c}"))
-    columns = [both(F.coalesce, "shipment_key").alias("shipment_key"), both(F.coalesce, "shipment_id").alias("shipment_id"), both(F.greatest, "last_event_ts").alias("last_event_ts")]
+    columns = [both(F.coalesce, "shipment_key").alias("shipment_key"), both(F.coalesce, "shipment_id").alias("shipment_id"), both(F.greatest, "last_event_ts").alias("last_event_ts"), both(F.least, "first_event_ts").alias("first_event_ts")]
     columns += [both(F.least, c).alias(c) for c in MILESTONES.values()]
     for name, (_, when) in LAST.items():
         newer = F.col(f"o.{when}").isNull() | (F.col(f"n.{when}") >= F.col(f"o.{when}"))
@@ -96,10 +96,32 @@ def dim_date(spark, first: str = "2026-01-01", last: str = "2026-12-31", existin
     return days.select("date_key", F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"), F.date_format(d, "EEEE").alias("day_name"), F.dayofweek(d).isin(1, 7).alias("is_weekend"))
 
 
-def vehicle_assignments(staged: DataFrame) -> DataFrame:
+def vehicle_assignments(facts: DataFrame) -> DataFrame:
     """Intervals in which a vehicle served one shipment, from its events in order."""
-    w = Window.partitionBy("vehicle_id").orderBy("event_ts", "event_id")
-    rows = staged.where(F.col("vehicle_id").isNotNull()).withColumn("_was", F.lag("shipment_id").over(w))
-    starts = rows.where(F.col("_was").isNull() | (F.col("_was") != F.col("shipment_id")))
+    w = Window.partitionBy("vehicle_key").orderBy("event_ts", "event_id")
+    rows = facts.where(F.col("vehicle_key").isNotNull()).withColumn("_was", F.lag("shipment_key").over(w))
+    starts = rows.where(F.col("_was").isNull() | (F.col("_was") != F.col("shipment_key")))
     to = F.lead("event_ts").over(w)
-    return starts.select(surrogate(F.col("vehicle_id")).alias("vehicle_key"), surrogate(F.col("shipment_id")).alias("shipment_key"), surrogate(F.col("hub_code")).alias("facility_key"), F.col("event_ts").alias("valid_from"), to.alias("valid_to"), to.isNull().alias("is_current"))
+    return starts.select("vehicle_key", "shipment_key", "facility_key", F.col("event_ts").alias("valid_from"), to.alias("valid_to"), to.isNull().alias("is_current"))
+
+
+def restated_days(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(day): days that may hold events of shipments whose hub or breach flag differs between two snapshots.
+
+    They reach from a shipment's first event to its last, and a day further on
+    each side, as an event's day is its payload's own.
+    """
+    o, n = old.alias("o"), new.alias("n")
+    same = F.col("o.last_hub_code").eqNullSafe(F.col("n.last_hub_code")) & F.col("o.is_window_breached").eqNullSafe(F.col("n.is_window_breached"))
+    moved = n.join(o, F.col("o.shipment_key") == F.col("n.shipment_key")).where(~same)
+    days = F.sequence(F.date_sub(F.col("n.first_event_ts").cast("date"), 1), F.date_add(F.col("n.last_event_ts").cast("date"), 1))
+    return moved.select(F.explode(days).alias("day")).distinct()
+
+
+def merge_dimension(known: DataFrame, staged: DataFrame, column: str, key: str, *extra: Column) -> DataFrame:
+    """A dimension after a batch: each business key with its first and last event time and least source."""
+    seen = staged.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("event_ts").alias("first_seen"), F.max("event_ts").alias("last_seen"), F.min("source").alias("source"))
+    rows = known.select(key, column, *[c for c in known.columns if c not in (key, column, "first_seen", "last_seen", "source")], "first_seen", "last_seen", *[c for c in known.columns if c == "source"])
+    fresh = seen.select(surrogate(F.col(column)).alias(key), column, *extra, "first_seen", "last_seen", "source").select(*rows.columns)
+    rest = [F.min(c).alias(c) for c in rows.columns if c not in (key, "first_seen", "last_seen")]
+    return rows.unionByName(fresh).groupBy(key).agg(*rest, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).select(*known.columns)

@@ -83,8 +83,13 @@ LOADS = {
 }
 
 
-def load(table: str, target: DataFrame | None, staged: DataFrame, as_of=None) -> DataFrame:
-    """The rows that a batch adds to a vault table."""
+def load(table: str, target: DataFrame | None, staged: DataFrame, as_of=None, since=None) -> DataFrame:
+    """The rows that a batch adds to a vault table; none of its events is older than ``since``."""
     offer, key = LOADS[table]
     rows = offer(staged, as_of)
-    return rows if target is None else insert_new(target, rows, *key)
+    if target is None:
+        return rows
+    if since is not None and "event_ts" in key:
+        # An older row can't have the key of one in the batch, and files hold stretches of time.
+        target = target.where(F.col("event_ts") >= F.lit(since))
+    return insert_new(target, rows, *key)

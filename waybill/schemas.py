@@ -9,7 +9,7 @@ ENVELOPE = "sequenceNumber long, partitionKey string, approximateArrivalTimestam
 BRONZE = """event_id string, event_type string, event_ts timestamp, ingest_ts timestamp, event_date date, shipment_id string,
 vehicle_id string, hub_code string, source string, status string, geo_lat double, geo_lon double, temperature_c double,
 delivery_window_start timestamp, delivery_window_end timestamp, metadata_json string, schema_version string,
-payload_hash string, shard_id string, kinesis_seq long"""
+payload_hash string, shard_id string, kinesis_seq long, ts_fallback boolean"""
 
 QUARANTINE = """event_id string, source string, ingest_ts timestamp, rejection_reason string,
 expected_schema_version string, observed_fields string, raw_payload string"""
@@ -46,7 +46,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...], str | None]] = {
         "event_date",
     ),
     "fact_shipment_status_current": (
-        "shipment_key string, shipment_id string, current_status string, last_event_ts timestamp_ntz, pickup_ts timestamp_ntz, in_transit_ts timestamp_ntz, exception_ts timestamp_ntz, delivered_ts timestamp_ntz, last_vehicle_id string, last_hub_code string, last_geo_lat double, last_geo_lon double, delivery_window_start timestamp_ntz, delivery_window_end timestamp_ntz, event_count long, is_window_breached boolean, status_ts timestamp_ntz, vehicle_ts timestamp_ntz, hub_ts timestamp_ntz, lat_ts timestamp_ntz, lon_ts timestamp_ntz, start_ts timestamp_ntz, end_ts timestamp_ntz, updated_at timestamp_ntz",
+        "shipment_key string, shipment_id string, current_status string, first_event_ts timestamp_ntz, last_event_ts timestamp_ntz, pickup_ts timestamp_ntz, in_transit_ts timestamp_ntz, exception_ts timestamp_ntz, delivered_ts timestamp_ntz, last_vehicle_id string, last_hub_code string, last_geo_lat double, last_geo_lon double, delivery_window_start timestamp_ntz, delivery_window_end timestamp_ntz, event_count long, is_window_breached boolean, status_ts timestamp_ntz, vehicle_ts timestamp_ntz, hub_ts timestamp_ntz, lat_ts timestamp_ntz, lon_ts timestamp_ntz, start_ts timestamp_ntz, end_ts timestamp_ntz, updated_at timestamp_ntz",
         ("shipment_key",),
         None,
     ),
@@ -55,10 +55,8 @@ TABLES: dict[str, tuple[str, tuple[str, ...], str | None]] = {
         ("recon_date", "hub_code"),
         "recon_date",
     ),
-    "fact_vehicle_assignment": ("vehicle_key string, shipment_key string, facility_key string, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean", ("vehicle_key", "valid_from"), None),
-    "dim_vehicle": ("vehicle_key string, vehicle_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean, first_seen timestamp_ntz, last_seen timestamp_ntz, source string", ("vehicle_key", "valid_from"), None),
+    "dim_vehicle": ("vehicle_key string, vehicle_id string, first_seen timestamp_ntz, last_seen timestamp_ntz, source string", ("vehicle_key",), None),
     "dim_facility": ("facility_key string, hub_code string, country string, first_seen timestamp_ntz, last_seen timestamp_ntz", ("facility_key",), None),
-    "dim_shipment": ("shipment_key string, shipment_id string, first_seen timestamp_ntz, last_seen timestamp_ntz, source string", ("shipment_key",), None),
     "dim_date": ("date_key date, year int, quarter int, month int, day int, day_name string, is_weekend boolean", ("date_key",), None),
 }
 

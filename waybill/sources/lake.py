@@ -23,6 +23,7 @@ def accepted_rows(registry: Registry, verdicts: DataFrame) -> DataFrame:
         "event_type",
         # An unreadable event time becomes the ingest time.
         F.coalesce(event_ts, F.col("ingest_ts").cast("timestamp")).alias("event_ts"),
+        event_ts.isNull().alias("ts_fallback"),
         F.col("ingest_ts").cast("timestamp").alias("ingest_ts"),
         # The day is the one the payload's own offset says.
         F.coalesce(F.when(event_ts.isNotNull(), F.try_to_date(F.substring("event_ts_text", 1, 10))), F.to_date("ingest_ts")).alias("event_date"),
@@ -62,8 +63,12 @@ def with_hour(rows: DataFrame) -> DataFrame:
 
 
 def write_lake(rows: DataFrame, path: str) -> None:
-    """Append Parquet (zstd) under dt=/hr= of the ingest time."""
-    with_hour(rows).write.partitionBy("dt", "hr").mode("append").option("compression", "zstd").parquet(path)
+    """Parquet (zstd, level 3) under dt=/hr= of the ingest time, in a batch's own folder.
+
+    A batch that is delivered again replaces all of it, whatever hours it had before.
+    """
+    writer = with_hour(rows).write.partitionBy("dt", "hr").mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").parquet(path)
 
 
 def read_bronze(spark: SparkSession, *paths: str) -> DataFrame:

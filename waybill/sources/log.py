@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.keys import partition_key, seconds_between, shard_id
+from waybill.functions.keys import partition_key, shard_id
 from waybill.schemas import ENVELOPE
 
 
@@ -35,8 +36,93 @@ def _records(lines: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All records, once; order by kinesis_seq where a consumer needs it."""
-    return _records(spark.read.schema("value string, shard_id string").text(path))
+    """All records, once, in order of their sequence numbers within each shard's files."""
+    return _records(spark.read.schema("value string, shard_id string").text(path)).repartition("shard_id").sortWithinPartitions("shard_id", "kinesis_seq")
+
+
+def within_capacity(payloads: DataFrame, capacity: int) -> DataFrame:
+    """``payloads`` with ``admitted``: whether a record is among the first ``capacity`` of its second of arrival.
+
+    The window is the stream's, not a shard's.  Seconds are numbered by themselves,
+    each of which holds as many records as arrive in it.
+    """
+    second = Window.partitionBy(F.date_trunc("second", "arrival_ts")).orderBy("arrival_ts", "seq")
+    return payloads.withColumn("admitted", F.row_number().over(second) <= capacity)
+
+
+@dataclass
+class PutResult:
+    """What became of the records of a put."""
+
+    admitted: int
+    throttled: int
+    capacity_used_pct: float
+
+
+def put_records(payloads: DataFrame, path: str, shards: int, per_shard: int, first_sequence: int = 0) -> PutResult:
+    """Write the records that the log's capacity admits, and count the others, which the caller must send again."""
+    capacity = shards * per_shard
+    judged = within_capacity(payloads, capacity).persist()
+    try:
+        busy = judged.groupBy(F.date_trunc("second", "arrival_ts").alias("second")).agg(F.count_if("admitted").alias("n"), F.count_if(~F.col("admitted")).alias("refused"))
+        told = busy.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+        if told.n:
+            append_log(judged.where("admitted").drop("admitted"), path, shards, first_sequence)
+        return PutResult(told.n, told.refused, 100.0 * told.most / capacity)
+    finally:
+        judged.unpersist()
+
+
+class Consumer:
+    """A consumer group's place in the log: how many records of each shard it has committed.
+
+    A shard's records are numbered by sequence number, so the place means the
+    same at every reading as long as producers append rising numbers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str):
+        self.spark, self.path = spark, path
+        jvm = spark.sparkContext._jvm
+        self._file, self._io = jvm.org.apache.hadoop.fs.Path(checkpoint), jvm.org.apache.commons.io.IOUtils
+        self._fs = self._file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.offsets: dict[str, int] = {}
+        if self._fs.exists(self._file):
+            stream = self._fs.open(self._file)
+            self.offsets = json.loads(self._io.toString(stream, "UTF-8"))
+            stream.close()
+
+    def _save(self) -> None:
+        out = self._fs.create(self._file, True)
+        out.write(json.dumps(self.offsets).encode())
+        out.close()
+
+    def _waiting(self) -> DataFrame:
+        """Uncommitted records with their number in their shard."""
+        records = _records(self.spark.read.schema("value string, shard_id string").text(self.path))
+        records = records.withColumn("_number", F.row_number().over(Window.partitionBy("shard_id").orderBy("kinesis_seq", "raw_payload")))
+        done = self.spark.createDataFrame([(s, n) for s, n in self.offsets.items()], "shard_id string, _done long")
+        return records.join(F.broadcast(done), "shard_id", "left").where(F.col("_number") > F.coalesce("_done", F.lit(0))).drop("_done")
+
+    def read(self, max_records: int = 5000) -> DataFrame:
+        """The first uncommitted records of every shard, ``max_records`` in all at most; moves nothing."""
+        # Taken by their numbers, every shard's come without a gap.
+        return self._waiting().orderBy("_number", "shard_id").limit(max_records).orderBy("kinesis_seq").drop("_number")
+
+    def commit(self, records: DataFrame) -> None:
+        """Move past ``records``, which ``read`` gave."""
+        for r in records.groupBy("shard_id").count().collect():  # one row a shard
+            self.offsets[r.shard_id] = self.offsets.get(r.shard_id, 0) + r["count"]
+        self._save()
+
+    def rewind(self, records: int = 500) -> None:
+        """Go back by ``records`` in all, an equal part in each shard: they are delivered again."""
+        each = max(1, records // max(1, len(self.offsets)))
+        self.offsets = {shard: max(0, n - each) for shard, n in self.offsets.items()}
+        self._save()
+
+    def lag(self) -> int:
+        """Records written and not committed."""
+        return self._waiting().count()
 
 
 def stream_log(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
@@ -52,9 +138,9 @@ def throughput(records: DataFrame, at: str, shards: int, per_shard: int) -> Data
 
 
 def lag(progress: dict | str) -> int:
-    """Rows a streaming query has seen but not yet committed, from its last progress."""
+    """Files that a streaming query over the log has listed and not yet read, from its last progress."""
     progress = json.loads(progress) if isinstance(progress, str) else progress
-    return sum(int(s.get("numInputRows") or 0) for s in progress.get("sources", []) if s.get("endOffset") != s.get("latestOffset") and s.get("latestOffset") is not None)
+    return sum(int((s.get("metrics") or {}).get("numFilesOutstanding") or 0) for s in progress.get("sources", []))
 
 
-__all__ = ["append_log", "envelope", "lag", "read_log", "seconds_between", "stream_log", "throughput"]
+__all__ = ["Consumer", "PutResult", "append_log", "envelope", "lag", "put_records", "read_log", "stream_log", "throughput", "within_capacity"]

@@ -43,28 +43,24 @@ def replay(pipeline: Pipeline, batch_id: str, at: datetime) -> ReplayResult:
     """
     spark, state = pipeline.spark, pipeline.store.manifest()["state"]
     folders = state["quarantine"]
-    if not folders:
+    if not folders and not state["blocked"]:
         return ReplayResult(0, 0, 0, 0, None)
     before = audit.duplicates(pipeline.store.read("fact_shipment_events"), "event_id").count()
-    held = None
+    held = spark.createDataFrame([], "raw_payload string")
     for folder in folders:
-        rows = lake.read_quarantine(spark, folder).select("raw_payload")
-        held = rows if held is None else held.unionByName(rows)
+        held = held.unionByName(lake.read_quarantine(spark, folder).select("raw_payload"))
     records = held.withColumn("kinesis_seq", F.lit(-1).cast("long")).withColumn("shard_id", F.lit("replay"))
     batch, bronze, quarantine = pipeline.deliver(records, batch_id, at)
     note = {"quarantine": [quarantine] if batch.quarantined else [], "archive": [*state.get("archive", []), *folders]}
     paths = [bronze] if batch.accepted else []
-    blocked = [f"{pipeline.root}/bronze/batch={b}" for b in state["blocked"]]
+    held_back = state["blocked"]
+    blocked = [f"{pipeline.root}/bronze/batch={b}" for b in held_back]
     fs = pipeline.store
     paths += [p for p in blocked if fs._fs.exists(fs._path(f"{p}/_SUCCESS")) and any(s.isDirectory() for s in fs._fs.listStatus(fs._path(p)))]
     merged = None
     if paths:
-        rows = None
-        for path in paths:
-            part = lake.read_bronze(spark, path)
-            rows = part if rows is None else rows.unionByName(part)
         note["blocked"] = []
-        merged = pipeline.merge(rows, batch_id, at, 0.0, note)
+        merged = pipeline.merge(pipeline._rows(paths), batch_id, at, 0.0, note, None, [batch_id, *held_back])
     else:
         manifest = pipeline.store.manifest()
         manifest["state"].update(note)
