@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.contracts.compiler import canonical_path, collected, facts_of, leftover, loosened, violations, with_facts
+from waybill.contracts.compiler import canonical_path, collected, facts_of, leftover, loosened, once, violations, with_facts
 from waybill.contracts.versions import CONTRACTS, MAPPINGS
 
 REASON_ERRORS, KEPT_ERRORS = 3, 5
@@ -52,7 +52,7 @@ class Registry:
         return not problems, sorted(problems)
 
     def verdicts(self, records: DataFrame, raw: str = "raw_payload") -> DataFrame:
-        """``records`` with variant, ok, schema_version, errors, reason and observed_fields.
+        """``records`` with fields, ok, schema_version, errors, reason and observed_fields.
 
         Versions are tried newest first and the first match wins.  A match whose
         mapped form breaks v1 doesn't count.  The errors are the newest
@@ -60,7 +60,14 @@ class Registry:
         """
         newest_first = self.active[::-1]
         facts = with_facts(records, raw, [self.load(v) for v in self.active])
-        out = facts.select(*records.columns, "variant", *[collected(violations(self.load(v))).alias(f"_errors_{v}") for v in newest_first], *[leftover(self.mappings(v)).alias(f"_left_{v}") for v in newest_first])
+        none = F.array().cast("array<string>")
+        observed = F.array_join(F.array_sort(F.coalesce(F.col("_f_root"), F.json_object_keys(raw), none)), ",")
+        # Versions agree on most paths; what they agree on is found once.
+        rules = {v: violations(self.load(v)) for v in newest_first}
+        shared = [r for r in rules[newest_first[0]] if all(r in own for own in rules.values())]
+        facts = facts.withColumn("_shared", once(collected(shared)))
+        errors_of = {v: collected([r for r in own if r not in shared], "_shared") for v, own in rules.items()}
+        out = facts.select(*records.columns, "fields", observed.alias("observed_fields"), *[once(e).alias(f"_errors_{v}") for v, e in errors_of.items()], *[leftover(self.mappings(v)).alias(f"_left_{v}") for v in newest_first])
         ok, broke = {}, {}
         for v in newest_first:
             clean = F.size(f"_errors_{v}") == 0
@@ -69,31 +76,34 @@ class Registry:
         version = F.coalesce(*[F.when(ok[v], F.lit(v)) for v in newest_first])
         break_ = F.coalesce(*[broke[v] for v in self.active])
         errors = F.when(break_.isNotNull(), F.array(break_)).otherwise(F.slice(F.col(f"_errors_{newest_first[0]}"), 1, KEPT_ERRORS))
-        none = F.array().cast("array<string>")
-        out = out.withColumn("_version", version).withColumn("_found", errors)
-        out = out.withColumn("ok", F.col("_version").isNotNull()).withColumn("schema_version", F.coalesce("_version", F.lit("unknown")))
-        out = out.withColumn("errors", F.when(F.col("ok"), none).otherwise(F.col("_found"))).withColumn("reason", F.array_join(F.slice("errors", 1, REASON_ERRORS), "; "))
-        out = out.withColumn("observed_fields", F.array_join(F.array_sort(F.coalesce(F.json_object_keys(raw), none)), ","))
-        return out.drop("_version", "_found", *[f"_{x}_{v}" for x in ("errors", "left") for v in newest_first])
+        out = out.select(*records.columns, "fields", "observed_fields", once(version).alias("_version"), errors.alias("_found"))
+        known = F.col("_version").isNotNull()
+        out = out.select(*records.columns, "fields", known.alias("ok"), F.coalesce("_version", F.lit("unknown")).alias("schema_version"), F.when(known, none).otherwise(F.col("_found")).alias("errors"), "observed_fields")
+        return out.withColumn("reason", F.array_join(F.slice("errors", 1, REASON_ERRORS), "; "))
 
     def canonical(self, verdicts: DataFrame) -> DataFrame:
         """Accepted rows with the v1 fields as columns, from where each row's version keeps them."""
-        v = F.col("variant")
+        fields = F.col("fields")
+        known = {name for v in self.active for name in self.load(v)["properties"]}
+
+        def value(path: str, kind: str):
+            name, _, rest = path.partition(".")
+            return F.try_variant_get(fields[name], f"$.{rest}" if rest else "$", kind) if name in known else F.lit(None).cast(kind)
 
         def get(target: str, kind: str):
             paths = {version: canonical_path(target, self.mappings(version)) for version in self.active}
-            column = F.try_variant_get(v, f"$.{target}", kind)
+            column = value(target, kind)
             for version, path in paths.items():
                 if path != target:
-                    column = F.when(F.col("schema_version") == version, F.try_variant_get(v, f"$.{path}", kind)).otherwise(column)
+                    column = F.when(F.col("schema_version") == version, value(path, kind)).otherwise(column)
             return column
 
         texts = ["event_id", "event_type", "shipment_id", "vehicle_id", "hub_code", "source", "status"]
-        metadata = F.to_json(F.try_variant_get(v, "$.metadata", "variant"))
+        metadata = F.to_json(fields["metadata"])
         return verdicts.where("ok").select(
-            *[c for c in verdicts.columns if c not in ("variant", "ok", "errors", "reason", "observed_fields")],
+            *[c for c in verdicts.columns if c not in ("fields", "ok", "errors", "reason", "observed_fields")],
             *[get(x, "string").alias(x) for x in texts],
-            get("event_ts", "string").alias("event_ts_text"),
+            once(get("event_ts", "string")).alias("event_ts_text"),
             get("geo.lat", "double").alias("geo_lat"),
             get("geo.lon", "double").alias("geo_lon"),
             get("temperature_c", "double").alias("temperature_c"),

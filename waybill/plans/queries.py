@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybill import costs
+from waybill.config import Config
 from waybill.contracts import Registry
 from waybill.functions.keys import hash_key, partition_key, shard_id, surrogate
 from waybill.operators import audit, marts, merge, monitors, staging, vault
@@ -15,7 +16,8 @@ from waybill.plans import consumer
 from waybill.schemas import empty
 from waybill.sources import lake
 from waybill.sources.adaptor import raw_payloads, shipment_events
-from waybill.sources.log import throughput
+from waybill.sources.generator import event_kinds
+from waybill.sources.log import throughput, within_capacity
 
 AS_OF = datetime(2024, 2, 1)
 SPLIT = "2024-01-15"
@@ -169,8 +171,21 @@ def compat_check(spark, sf_dir):
 # --- audit
 
 
+def _soiled(staged: DataFrame) -> DataFrame:
+    """Staged rows with every fault that the audit looks for."""
+    n = F.col("kinesis_seq")
+    out = staged.withColumns({
+        "event_id": F.when(n % 401 != 0, F.col("event_id")),
+        "shipment_id": F.when(n % 211 != 3, F.col("shipment_id")),
+        "status": F.when(n % 173 == 5, F.lit("lost")).otherwise(F.col("status")),
+        "geo_lat": F.when(n % 307 == 9, F.lit(90.5)).otherwise(F.col("geo_lat")),
+        "geo_lon": F.when(n % 283 == 4, F.lit(-180.5)).otherwise(F.col("geo_lon")),
+    })
+    return out.unionByName(out.where("kinesis_seq % 503 = 11"))
+
+
 def audit_checks(spark, sf_dir):
-    c = audit.counts(_staged(spark, sf_dir))
+    c = audit.counts(_soiled(_staged(spark, sf_dir)))
     return c.select(F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in audit.CHECKS]), F.array(*[F.col(f"`{x}`").cast("long") for x in audit.CHECKS]))).alias("check_name", "n"))
 
 
@@ -232,7 +247,7 @@ def _vault(table: str):
 
 def ops_delta_status(spark, sf_dir):
     helpers = [when for _, when in marts.LAST.values()]
-    return marts.status_delta(_staged(spark, sf_dir)).drop("is_window_breached", *helpers)
+    return marts.status_delta(_staged(spark, sf_dir)).drop("is_window_breached", "first_event_ts", *helpers)
 
 
 def _snapshot(spark, sf_dir) -> DataFrame:
@@ -243,7 +258,7 @@ def _snapshot(spark, sf_dir) -> DataFrame:
 
 
 def ops_status_current(spark, sf_dir):
-    return _snapshot(spark, sf_dir).drop(*[when for _, when in marts.LAST.values()])
+    return _snapshot(spark, sf_dir).drop("first_event_ts", *[when for _, when in marts.LAST.values()])
 
 
 def recon_daily(spark, sf_dir):
@@ -265,7 +280,42 @@ def dim_date(spark, sf_dir):
 
 
 def vehicle_assignments(spark, sf_dir):
-    return marts.vehicle_assignments(_staged(spark, sf_dir))
+    return marts.vehicle_assignments(merge.fact_rows(_staged(spark, sf_dir)))
+
+
+def recon_incremental(spark, sf_dir):
+    """The reconciliation after a second batch that redoes only the days it must; equal to that of one pass."""
+    staged = _staged(spark, sf_dir)
+    late = F.col("kinesis_seq") % 7 == 0
+    first, second = staged.where(~late), staged.where(late & (F.col("event_date") >= SPLIT))
+    before = marts.status_delta(first)
+    after = marts.merge_status(before, marts.status_delta(second))
+    days = second.select(F.col("event_date").alias("day")).union(marts.restated_days(before, after)).distinct()
+    facts = merge.fact_rows(first.unionByName(second))
+    redone = marts.recon(facts.join(days, F.col("event_date") == F.col("day"), "left_semi"), after)
+    untouched = marts.recon(merge.fact_rows(first), before).join(days, F.col("recon_date") == F.col("day"), "left_anti")
+    return redone.unionByName(untouched)
+
+
+def dim_vehicle(spark, sf_dir):
+    """The vehicles after two batches."""
+    return _dimension(spark, sf_dir, "dim_vehicle", "vehicle_id", "vehicle_key")
+
+
+def dim_facility(spark, sf_dir):
+    return _dimension(spark, sf_dir, "dim_facility", "hub_code", "facility_key", F.split_part("hub_code", F.lit("-"), F.lit(2)).alias("country"))
+
+
+def _dimension(spark, sf_dir, table, column, key, *extra):
+    out = empty(spark, table)
+    for batch in _batches(spark, sf_dir):
+        out = marts.merge_dimension(out, batch, column, key, *extra)
+    return out
+
+
+def dim_date_seeded(spark, sf_dir):
+    """Days that a dimension lacks which has the first half of the year."""
+    return marts.dim_date(spark, existing=marts.dim_date(spark, last="2026-06-30"))
 
 
 # --- monitors
@@ -283,10 +333,84 @@ def monitor_violation(spark, sf_dir):
 
 
 def null_rate_recent(spark, sf_dir):
-    as_of = F.lit(LATEST_INGEST).cast("timestamp_ntz")
-    recent = _staged(spark, sf_dir).where((F.col("ingest_ts") > as_of - F.expr("INTERVAL '60' MINUTE")) & (F.col("ingest_ts") <= as_of))
-    pct = F.count_if(F.col("delivery_window_start").isNull()) * F.lit(100.0) / F.nullif(F.count(F.lit(1)), F.lit(0))
-    return recent.agg(F.count(F.lit(1)).alias("n"), F.round(pct.cast("double"), 6).alias("null_pct"))
+    return audit.recent_null_pct(_staged(spark, sf_dir), "delivery_window_start", LATEST_INGEST, 3600)
+
+
+def _hours(spark, sf_dir) -> DataFrame:
+    """Staged events as batches of an hour."""
+    return _staged(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ingest_ts").cast("timestamp_ntz"))
+
+
+def monitor_null_rate(spark, sf_dir):
+    """The null rate of each watched column in each hour, and whether it alerts."""
+    hours = _hours(spark, sf_dir).groupBy("hour").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in monitors.WATCHED])
+    long = hours.unpivot(["hour", "n"], list(monitors.WATCHED), "column_name", "nulls")
+    pct = F.col("nulls") * F.lit(100.0) / F.col("n")
+    return long.select("hour", "column_name", F.round(pct, 6).alias("null_pct"), (pct > Config().null_alert_pct).alias("alerts"))
+
+
+def monitor_freshness(spark, sf_dir):
+    """Waits between ingested events of more than two minutes."""
+    times = _staged(spark, sf_dir).select("ingest_ts").distinct()
+    waits = times.withColumn("day", F.to_date("ingest_ts")).withColumn("last", F.lag("ingest_ts").over(Window.partitionBy("day").orderBy("ingest_ts")))
+    waited = F.unix_micros(F.col("ingest_ts").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
+    return waits.where(waited > 120_000_000).select("ingest_ts", waited.alias("waited_micros"))
+
+
+def monitor_cooldown(spark, sf_dir):
+    """Exceptions as firing monitors, a key a source: those that alert under a cooldown of an hour."""
+    firing = _staged(spark, sf_dir).where("status = 'exception'").select(F.col("source").alias("key"), F.col("ingest_ts").alias("at")).distinct()
+    return monitors.cooled(firing, 3600).select("key", F.col("at").alias("alerted_at"))
+
+
+def load_watermark(spark, sf_dir):
+    """The watermark after each hour's batch, taken in order of event id: it never goes back."""
+    batches = _staged(spark, sf_dir).withColumn("batch", F.floor(F.col("kinesis_seq") / 100).cast("long")).groupBy("batch").agg(F.max("ingest_ts").alias("newest"))
+    return batches.select("batch", F.max("newest").over(Window.orderBy("batch")).alias("watermark_ts"))
+
+
+def throttled_records(spark, sf_dir):
+    """Records beyond one a second, which a log of that capacity refuses."""
+    rows = shipment_events(spark, sf_dir).select(F.col("ingest_ts").alias("arrival_ts"), (F.col("kinesis_seq") * 2 + F.when(F.col("ingest_ts") > F.col("event_ts") + F.expr("INTERVAL '70' SECOND"), 1).otherwise(0)).alias("seq"))
+    return within_capacity(rows, 1).where("not admitted").select("arrival_ts", "seq")
+
+
+def generated_events(spark, sf_dir):
+    """Source, type and lateness of a thousand generated events."""
+    return event_kinds(spark.range(1000), Config()).select(F.col("id").alias("seq"), "source", "event_type", F.col("late").cast("long").alias("late"))
+
+
+def contract_errors(spark, sf_dir):
+    """Payloads with wrong values, types, missing fields and broken JSON against the first contract."""
+    events = staging.deduplicated(shipment_events(spark, sf_dir)).where("source in ('telematics_gateway', 'hub_scanner_net') and kinesis_seq % 500 <> 3")
+    raw, kind = F.col("raw_payload"), F.col("kinesis_seq") % 8
+    event_type = F.regexp_replace(raw, '"event_type":"[a-z_]+"', '"event_type":"lost"')
+    soiled = F.when(kind == 1, event_type).when(kind == 2, F.regexp_replace(raw, '"event_id":"EV[0-9]+"', '"event_id":"EV1"'))
+    soiled = soiled.when(kind == 3, F.regexp_replace(raw, '"shipment_id":"[^"]*",', "")).when(kind == 4, F.substring(raw, 1, 20)).when(kind == 5, F.regexp_replace(raw, '"source":"[a-z_]+"', '"source":7'))
+    soiled = soiled.when(kind == 6, F.regexp_replace(event_type, '"event_id":"EV[0-9]+"', '"event_id":"EV1"')).when(kind == 7, F.regexp_replace(raw, '"event_ts":"[^"]*"', '"event_ts":"yesterday"')).otherwise(raw)
+    return Registry().verdicts(raw_payloads(events).withColumn("raw_payload", soiled))
+
+
+def contract_errors_found(spark, sf_dir):
+    return contract_errors(spark, sf_dir).select("kinesis_seq", "ok", "reason", F.size("errors").alias("n_errors"))
+
+
+def ts_fallback(spark, sf_dir):
+    """Accepted rows whose time can't be read, which take that of their arrival."""
+    rows = lake.accepted_rows(Registry(), contract_errors(spark, sf_dir)).where("ts_fallback")
+    return rows.select("kinesis_seq", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "event_date")
+
+
+def top_violations(spark, sf_dir):
+    """The three paths with most violations."""
+    return monitors.violation_fields(contract_errors(spark, sf_dir)).orderBy(F.desc("n"), "field").limit(3)
+
+
+def recent_alerts(spark, sf_dir):
+    """The last six contract alerts."""
+    v = monitor_violation(spark, sf_dir).where("severity is not null")
+    alerts = v.select(F.col("day").alias("raised_at"), F.lit("contract_violation").alias("monitor"), F.col("source").alias("message"), "severity")
+    return monitors.recent_alerts(alerts)
 
 
 # --- reports
@@ -339,7 +463,8 @@ def queries() -> dict:
             surrogate_keys, shard_distribution, shard_distribution_md5, throughput_windows, contract_verdicts, canonical_events, quarantine_rows,
             accepted_vs_rejected, violations_by_field, null_counts, replay_candidates, compat_check, audit_checks, audit_null_rate, duplicate_check, table_counts,
             merge_events, ops_delta_status, ops_status_current, recon_daily, recon_restatement, dim_date, vehicle_assignments, monitor_canary, monitor_violation,
-            null_rate_recent, q_ops_status, q_ops_freshness, q_fin_top_hubs, q_rel_versions, q_version_mix, q_rel_alerts, q_ds_cold_chain, q_cost_model,
+            null_rate_recent, recon_incremental, dim_vehicle, dim_facility, dim_date_seeded, monitor_null_rate, monitor_freshness, monitor_cooldown, load_watermark,
+            throttled_records, generated_events, contract_errors_found, ts_fallback, top_violations, recent_alerts, q_ops_status, q_ops_freshness, q_fin_top_hubs, q_rel_versions, q_version_mix, q_rel_alerts, q_ds_cold_chain, q_cost_model,
         )
     }
     q["partition_key"] = partition_keys
