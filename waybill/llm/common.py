@@ -145,6 +145,26 @@ def numbered(docs: DataFrame, *columns: Column | str, key: str | None = None) ->
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
 
 
+def lean(function):
+    """A function over Arrow batches that gives freed memory back to the system when its task ends.
+
+    Spark keeps Python workers, and the allocator keeps what they have freed.
+    """
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

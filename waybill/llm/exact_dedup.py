@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import SPACE_CLASS, attach_groups, numbered, partitions, stage, text_or_empty
+from waybill.llm.common import SPACE_CLASS, attach_groups, lean, numbered, partitions, stage, text_or_empty
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -225,9 +225,9 @@ def build_index(digests: DataFrame, per_shard: int = SHARD_DIGESTS) -> DataFrame
     It has so many shards that each holds ``per_shard`` digests at most on average.
     """
     ones = digests.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    met = ones.mapInArrow(_index_batches, INDEX_SCHEMA)
+    met = ones.mapInArrow(lean(_index_batches), INDEX_SCHEMA)
     shards = max(partitions(digests.sparkSession), -(-digests.count() // per_shard))
-    return met.repartition(shards, "digest").mapInArrow(_index_batches, INDEX_SCHEMA)
+    return met.repartition(shards, "digest").mapInArrow(lean(_index_batches), INDEX_SCHEMA)
 
 
 def retire(index: DataFrame, digests: DataFrame, per_shard: int = SHARD_DIGESTS) -> DataFrame:
@@ -235,7 +235,7 @@ def retire(index: DataFrame, digests: DataFrame, per_shard: int = SHARD_DIGESTS)
     dead = digests.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), F.lit(0).cast("long").alias("group_size")).dropDuplicates(["digest"])
     both = index.select(*dead.columns).unionByName(dead)
     shards = max(partitions(index.sparkSession), -(-both.count() // per_shard))
-    return both.repartition(shards, "digest").mapInArrow(_retire_batches, INDEX_SCHEMA)
+    return both.repartition(shards, "digest").mapInArrow(lean(_retire_batches), INDEX_SCHEMA)
 
 
 def exact_dedup(docs: DataFrame, key: str | None = None) -> DataFrame:

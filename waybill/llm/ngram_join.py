@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, forget, numbered, partitions, stage
+from waybill.llm.common import attach_groups, forget, lean, numbered, partitions, stage
 from waybill.llm.components import Forest, components
 from waybill.llm.textscan import mix64, scans, shingle_hashes
 
@@ -386,7 +386,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def profile(rows: DataFrame) -> tuple[DataFrame, bytes]:
     """Profiles (doc_id, row, n, cls, vec) of ``rows`` (doc_id, row, text), and the sketch's levels."""
-    seen = stage(rows.mapInArrow(_profile_batches, "doc_id long, row long, n long, cls long, vec binary, segment int"), "profiles")
+    seen = stage(rows.mapInArrow(lean(_profile_batches), "doc_id long, row long, n long, cls long, vec binary, segment int"), "profiles")
     levels = seen.where("segment is not null").select("segment", "vec").groupBy("segment").applyInArrow(_levels, "segment int, level binary")
     by_segment = {r.segment: bytes(r.level) for r in levels.collect()}  # SEGMENTS rows, 1 << SKETCH_BITS bytes in all
     empty = bytes((1 << SKETCH_BITS) // SEGMENTS)
@@ -405,16 +405,16 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes, most: int
     reps = stage(profiles.where("n > 0").groupBy("cls").agg(F.min(F.struct("row", "n", "vec")).alias("rep")).select("cls", "rep.row", "rep.n", "rep.vec"), "classes")
     rows = docs.select("row", "text")
 
-    rare = rows.mapInArrow(_block_batches(held), "gram long, cls long, n int")
+    rare = rows.mapInArrow(lean(_block_batches(held)), "gram long, cls long, n int")
     sorted_ = rare.repartition(n, "gram").sortWithinPartitions("gram", "n", "cls")
-    shared = stage(sorted_.mapInArrow(lambda batches: _shared_batches(batches, most), "gram long, a long, b long, sure boolean"), "shared")
+    shared = stage(sorted_.mapInArrow(lean(lambda batches: _shared_batches(batches, most)), "gram long, a long, b long, sure boolean"), "shared")
 
     points = reps.select("cls", "n", "vec")
     blocks = shared.where("b is null").select("gram", F.col("a").alias("cls")).join(points, "cls").select("gram", "cls", "n", "vec")
-    in_blocks = blocks.repartition(n, "gram").sortWithinPartitions("gram", "cls").mapInArrow(_tree_batches, "a long, b long")
+    in_blocks = blocks.repartition(n, "gram").sortWithinPartitions("gram", "cls").mapInArrow(lean(_tree_batches), "a long, b long")
     pairs = shared.where("b is not null and not sure").select("a", "b").distinct()
     pairs = pairs.join(points.toDF("a", "n_a", "vec_a"), "a").join(points.toDF("b", "n_b", "vec_b"), "b")
-    in_pairs = pairs.select("a", "b", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(_pair_batches, "a long, b long")
+    in_pairs = pairs.select("a", "b", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(lean(_pair_batches), "a long, b long")
     sure = shared.where("sure").select("a", "b")
     clusters = components(in_blocks.union(in_pairs).union(sure)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
 
@@ -440,8 +440,8 @@ def link_classes(docs: DataFrame, profiles: DataFrame, levels: bytes, most: int
     units = F.when(F.col("whole"), alone).otherwise(F.concat(same, up, down))
     dealt = dealt.select("row", "cls", "part", units.alias("units"))
     texts = rows.join(dealt.hint("shuffle_hash"), "row").select(F.explode("units").alias("unit"), "part", "cls", "text")
-    grams = texts.mapInArrow(_gram_batches, "unit string, part int, cls long, grams binary")
-    links = grams.repartition(n, "unit").sortWithinPartitions("unit", "cls").mapInArrow(_verify_batches, "a long, b long")
+    grams = texts.mapInArrow(lean(_gram_batches), "unit string, part int, cls long, grams binary")
+    links = grams.repartition(n, "unit").sortWithinPartitions("unit", "cls").mapInArrow(lean(_verify_batches), "a long, b long")
     out = components(links)
     forget(reps, shared, joined)
     return out

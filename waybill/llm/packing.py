@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import numbered, stage
+from waybill.llm.common import lean, numbered, stage
 from waybill.llm.textscan import scans
 
 SEQUENCE = 4096
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     Without rows the result is empty.  Other columns are not read.
     """
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key=key)
-    pieces = stage(rows.select("doc_id", "row", "text").mapInArrow(piece_batches(tokenizer_path, sequence, end_id), PIECE_SCHEMA), "pieces")
+    pieces = stage(rows.select("doc_id", "row", "text").mapInArrow(lean(piece_batches(tokenizer_path, sequence, end_id)), PIECE_SCHEMA), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInArrow(_pack_group(sequence), PIECE_SCHEMA + ", sequence_id long, offset long")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import attach_groups, key_of, numbered, partitions, stage, text_or_empty
+from waybill.llm.common import attach_groups, key_of, lean, numbered, partitions, stage, text_or_empty
 from waybill.llm.textscan import mix64, scans
 
 #: log2 of the cells that words are hashed to; a bigram has two.  Cells 0 and 1 stand for a text's start and end.
@@ -378,8 +378,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         marks, good = spark.sparkContext.broadcast(rows.tobytes()), texts
     else:
         good = texts.join(counted.select("row"), "row", "left_semi").select("row", "text")
-    counts = good.mapInArrow(_count_batches(marks, bits, shards), MESSAGE_SCHEMA)
-    tables = stage(counts.repartition(min(n, shards), "shard").sortWithinPartitions("shard").mapInArrow(_table_batches, MESSAGE_SCHEMA), "tables")
+    counts = good.mapInArrow(lean(_count_batches(marks, bits, shards)), MESSAGE_SCHEMA)
+    tables = stage(counts.repartition(min(n, shards), "shard").sortWithinPartitions("shard").mapInArrow(lean(_table_batches), MESSAGE_SCHEMA), "tables")
     segments = tables.where("shard = -1").select("piece", "data").groupBy("piece").applyInArrow(_add_segments, "piece long, data binary").collect()  # SEGMENTS rows, 5 numbers a cell in all
     cells, often = np.zeros((5, _CELLS), dtype=np.int64), [0] * 4
     for part in segments:
@@ -389,9 +389,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         often = [a + int(b) for a, b in zip(often, few, strict=True)]
     model = spark.sparkContext.broadcast(Model(cells, often))
 
-    asked = tables.where("shard >= 0").union(texts.mapInArrow(_ask_batches(model, bits, shards), MESSAGE_SCHEMA))
-    answers = asked.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer_batches(model, bits), MESSAGE_SCHEMA)
-    scores = answers.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(_score_batches, "row long, n long, logp double")
+    asked = tables.where("shard >= 0").union(texts.mapInArrow(lean(_ask_batches(model, bits, shards)), MESSAGE_SCHEMA))
+    answers = asked.repartition(min(n, shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_answer_batches(model, bits)), MESSAGE_SCHEMA)
+    scores = answers.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(lean(_score_batches), "row long, n long, logp double")
     return scores.join(known.select("row", "held", F.lit(True).alias("trusted")), "row", "left").select("row", F.exp(-F.col("logp") / F.col("n")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("held", F.lit(False)).alias("held"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import numbered, partitions, stage
+from waybill.llm.common import lean, numbered, partitions, stage
 from waybill.llm.textscan import Scan, _powers_for, mix64, scans
 
 #: A run of repeated units goes if it has so many words.
@@ -196,11 +196,11 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int
     each other; ``row`` is the caller's ``key``, if one is named.  Without rows the result is empty.  Other columns are not read.
     """
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key=key).select("doc_id", "row", "text")
-    units = stage(rows.mapInArrow(lambda batches: _unit_batches(batches, line_words), "digest long, check long, doc_id long, row long, unit int"), "units")
+    units = stage(rows.mapInArrow(lean(lambda batches: _unit_batches(batches, line_words)), "digest long, check long, doc_id long, row long, unit int"), "units")
     n = partitions(docs.sparkSession)
     order = [F.col("digest"), F.col("check"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("unit")]
-    later = units.where("digest is not null").repartition(n, "digest").sortWithinPartitions(*order).mapInArrow(_later_batches, "row long, unit int")
+    later = units.where("digest is not null").repartition(n, "digest").sortWithinPartitions(*order).mapInArrow(lean(_later_batches), "row long, unit int")
     repeats = units.where("digest is null").select("row", "unit").union(later)
     marked = repeats.groupBy("row").agg(F.collect_list("unit").alias("units"))
     joined = rows.join(marked.hint("merge"), "row", "left").select("doc_id", "row", "text", "units")
-    return joined.mapInArrow(_clean_batches(min_words), _CLEAN_SCHEMA)
+    return joined.mapInArrow(lean(_clean_batches(min_words)), _CLEAN_SCHEMA)
